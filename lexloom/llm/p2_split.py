@@ -7,6 +7,7 @@ are descended into. A sentence that is too large itself is cut between words.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a Java and as a Python character class.
 SPACE = r"\t-\r \x85\xA0  -     　"
-_WORD = regex.compile(rf"[^{SPACE}]+")
+_WORD = re.compile(rf"[^{SPACE}]+")
 _HEADING = regex.compile(r"(?m)^[ \t]*(?:#{1,6}[ \t]|(?i:chapter|part|section|schedule|article)[ \t]+[IVXLCDM\d]+[A-Z]?\b|[\p{Lu}\d][\p{Lu}\d .,&'()-]{5,70}$)")
 _BLANK = regex.compile(r"\n[ \t\r]*\n\s*| ")
 _ITEM = regex.compile(r"(?m)^[ \t]*(?:[-*•‣–]|\(?(?:\d{1,3}|[a-z]|[ivxlc]{1,6})[.)])[ \t]+")
@@ -27,8 +28,9 @@ _SENTENCE = regex.compile(r"[.?!।॥][\"'”’)\]]*[" + SPACE + r"]+(?=[^\p{L
 
 def n_words(text: Column) -> Column:
     """The number of words: maximal runs of characters that are not Unicode white space."""
-    bare = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(F.length(bare) == 0, 0).otherwise(F.size(F.split(bare, f"[{SPACE}]+")))
+    space = f"[{SPACE}]"
+    runs = F.size(F.split(text, f"{space}+"))
+    return F.when(F.length(text) == 0, 0).otherwise(runs - F.left(text, F.lit(1)).rlike(space).cast("int") - F.right(text, F.lit(1)).rlike(space).cast("int"))
 
 
 def _levels(text: str, starts: list[int]) -> list[list[int]]:

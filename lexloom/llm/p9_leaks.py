@@ -52,7 +52,7 @@ class Index:
         self.floor = min(self.least, default=float("inf"))
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(k)] for k in self.keys]
-        self.most = [max(s for _, s in p) for p in self.postings]
+        self.most = np.array([max(s for _, s in p) for p in self.postings])
         self.blocks = [[(p[min(j + BLOCK, len(p)) - 1][0], max(s for _, s in p[j : j + BLOCK])) for j in range(0, len(p), BLOCK)] for p in self.postings]
 
     def search(self, lists: list[int]) -> list[int]:
@@ -93,7 +93,7 @@ class Index:
                     i += 1
                 at[k] = i
 
-    def leaks(self, words: list[str], hashes: np.ndarray, passage: int = 64) -> Iterator[tuple[int, int, float]]:
+    def leaks(self, words: list[str], hashes: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(item id, runs found, share of the item's runs) for one document."""
         if len(words) < self.run or not len(self.keys):
             return
@@ -103,12 +103,16 @@ class Index:
         width = self.run - GRAM + 1
         if np.count_nonzero(hit) < width:
             return
+        # a passage is a stretch of indexed grams, each window of one run reaching the lowest threshold
+        bound = np.concatenate([[0.0], np.cumsum(np.where(hit, self.most[place], 0.0))])
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        windows = np.flatnonzero((hits[width:] - hits[:-width] == width) & (bound[width:] - bound[:-width] >= self.floor - 1e-6))
+        if not len(windows):
+            return
         candidates: set[int] = set()
-        for lo in range(0, len(grams), passage):
-            part = slice(lo, lo + passage + width - 1)  # every run lies in one passage
-            lists = set(place[part][hit[part]].tolist())
-            if lists:
-                candidates.update(self.search(sorted(lists)))
+        for stretch in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1):
+            part = slice(stretch[0], stretch[-1] + width)
+            candidates.update(self.search(sorted(set(place[part][hit[part]].tolist()))))
         if candidates:
             runs = shingle_hashes(hashes, self.run).tolist()
             for n in sorted(candidates):

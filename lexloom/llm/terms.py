@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import regex
 
 #: A term is a maximal run of letters, marks and digits of the lower-cased text.
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_ASCII_TERM = regex.compile(r"[a-z0-9]+", regex.ASCII)
+_ASCII_TERM = re.compile(r"[a-z0-9]+")
+_PLAIN_TERM = re.compile(r"[^\W_]+")
+#: Outside these ranges Unicode has no marks from U+0300 on.
+_MAY_BE_MARK = re.compile("[\u0300-\u1fff\u20d0-\u20ff\u2c00-\U0010ffff]")
 
 
 def terms(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    return (_ASCII_TERM if low.isascii() else TERM).findall(low)
+    if low.isascii() or low.replace("\u20b9", " ").isascii():
+        return _ASCII_TERM.findall(low)
+    return (TERM if _MAY_BE_MARK.search(low) else _PLAIN_TERM).findall(low)
 
 
 def hash64(data: bytes) -> int:
