@@ -38,13 +38,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage; the table outlives any executor and goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom/{os.getpid()}-{uuid.uuid4().hex[:12]}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
