@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import p2_split, p4_near, p6_cap, p7_copies, p8_tokenize, p9_leaks
+from . import p1_similar, p2_split, p4_near, p6_cap, p7_copies, p8_tokenize, p9_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +24,12 @@ def _pieces(spark: SparkSession, root: str, operator: Callable[..., DataFrame])
     return chunks.unionByName(judgments)
 
 
+@query
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    found = p1_similar.nearest(table(spark, root, "vector_rows"))
+    return found.select(F.least("query", "neighbour").alias("vec_a"), F.greatest("query", "neighbour").alias("vec_b")).distinct()
+
+
 @query
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root, p2_split.oversized_pieces).where("piece_no = 2").select("src", "item_id").distinct()
