@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import p1_similar, p2_split, p4_near, p6_cap, p7_copies, p8_tokenize, p9_leaks
+from . import p1_similar, p2_split, p4_near, p5_quality, p6_cap, p7_copies, p8_tokenize, p9_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,6 +45,16 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_near.all_pairs(table(spark, root, "chunks")).select(F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
 
 
+@query
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_quality.found(table(spark, root, "chunks"))
+
+
+@query
+def p5_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return p5_quality.judged(table(spark, root, "chunks"))
+
+
 @query
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_cap.over_cap(table(spark, root, "chunks"), table(spark, root, "chunk_scores")).select(F.col("id").alias("ingest_pos"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame
 SLICES = 256
 
 
-def count_table(values: DataFrame, bits: int) -> np.ndarray:
-    """Counts (saturating at 65535) of the uint32 values packed in the binary column, by value mod 2^bits.
+def packed(batch: pa.RecordBatch) -> np.ndarray:
+    """The uint32 values packed in a binary column."""
+    return np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x), np.uint32)
+
+
+def count_table(values: DataFrame, bits: int, extract: Callable[[pa.RecordBatch], np.ndarray] = packed) -> np.ndarray:
+    """Counts (saturating at 65535) of the uint32 values that ``extract`` finds, by value mod 2^bits.
 
     Each task sends its table in compressed slices, which are added up by slice; the driver gets
     2^bits counts of two bytes, whatever the size of the data.
@@ -24,8 +29,7 @@ def count_table(values: DataFrame, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
         for batch in batches:
-            data = b"".join(x for x in batch.column(0).to_pylist() if x)
-            slots, n = np.unique(np.frombuffer(data, np.uint32) & np.uint32(size - 1), return_counts=True)
+            slots, n = np.unique(extract(batch) & np.uint32(size - 1), return_counts=True)
             total[slots] += n.astype(np.uint32)
         total = np.minimum(total, 65535).astype(np.uint16)
         parts = [(i, zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1)) for i in range(SLICES) if total[i * step : (i + 1) * step].any()]
