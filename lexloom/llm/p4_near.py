@@ -21,7 +21,7 @@ from ..session import materialize
 from .tables import count_table
 from .terms import TermHashes, shingle_hashes, terms
 
-WORDS = 6  # 64-bit words in a bitmap
+WORDS = 12  # 64-bit words in a bitmap
 DF_BITS = 23
 #: A shingle in more texts than this is split into pairs of blocks of this many texts.
 HOT = 4096
@@ -115,8 +115,8 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
     for n in np.unique(lengths[few]):  # short lists of equal length at once
         rows = doc[starts[few & (lengths == n)][:, None] + np.arange(n)]
         a, b = np.triu_indices(n, 1)
-        for at in range(0, len(rows), max(1, 400_000 // len(a))):
-            part = rows[at : at + max(1, 400_000 // len(a))]
+        for at in range(0, len(rows), max(1, 200_000 // len(a))):
+            part = rows[at : at + max(1, 200_000 // len(a))]
             i, j = part[:, a].ravel(), part[:, b].ravel()
             near = (i != j) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
             i, j = i[near], j[near]
@@ -157,7 +157,7 @@ def near_pairs(texts: DataFrame, shingle: int = 3, min_terms: int = 40, threshol
     sets = materialize(texts.select("pos", "text").where("text is not null").mapInArrow(shingles, "pos long, shingles binary"), "shingles", "none")
     spark = texts.sparkSession
     df = spark.sparkContext.broadcast(count_table(sets.select("shingles"), df_bits))
-    tasks = max(12, -(-sets.count() // TEXTS_PER_TASK))
+    tasks = max(8, -(-sets.count() // TEXTS_PER_TASK))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = df.value, np.uint32((1 << df_bits) - 1)
