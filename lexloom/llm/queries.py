@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import p1_similar, p2_split, p4_near, p5_quality, p6_cap, p7_copies, p8_tokenize, p9_leaks
+from ..session import materialize, table
+from . import p1_similar, p2_split, p3_scans, p4_near, p5_quality, p6_cap, p7_copies, p8_tokenize, p9_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,6 +40,26 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root, p2_split.split_oversized).select("src", "item_id", "piece_no", "n_pieces", "start_at", "words", "piece")
 
 
+def _scans(spark: SparkSession, root: str) -> list[tuple[str, DataFrame, str, str]]:
+    """Texts that may be scans: what is a list, a table or junk is left out."""
+    chunks = table(spark, root, "chunks")
+    odd = materialize(p5_quality.judged(chunks).where("kind is not null").select("ingest_pos"), "odd")
+    return [
+        ("chunks", chunks.join(odd, "ingest_pos", "left_anti"), "ingest_pos", "text"),
+        ("orchestrator_responses", table(spark, root, "orchestrator_responses"), "response_id", "extracted_text"),
+    ]
+
+
+@query
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return p3_scans.find_noise(_scans(spark, root)).select("src", "item_id", "line_no", "kind").distinct()
+
+
+@query
+def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return p3_scans.repair(_scans(spark, root))
+
+
 @query
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_near.all_pairs(table(spark, root, "chunks")).select(F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
