@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import p1_similar, p2_split, p3_scans, p4_near, p5_quality, p6_cap, p7_copies, p8_tokenize, p9_leaks
+from . import p1_similar, p2_split, p3_scans, p4_near, p5_quality, p6_cap, p7_copies, p8_tokenize, p9_leaks, p10_personal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,3 +99,14 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_leaks.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    found = p10_personal.find_personal(table(spark, root, "documents"), table(spark, root, "name_register"))
+    return found.select("doc_id", "kind", "start_at")
+
+
+@query
+def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return p10_personal.redact(table(spark, root, "documents"), table(spark, root, "name_register"))
