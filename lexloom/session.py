@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -48,3 +49,12 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.mode("overwrite").option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, key: str, count: int, most: int) -> DataFrame:
+    """At most ``most`` of ``count`` rows, by a hash of the key; all if there are no more."""
+    if count <= most:
+        return rows
+    slots = 1 << 30
+    # a little less than asked for, so that the limit is seldom reached
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(slots)) < int(0.95 * slots * most / count)).limit(most)
