@@ -7,11 +7,13 @@ lists, tables and junk apart.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,21 @@ _CELL_ENDS = regex.compile(r"\s*(?:\t|\||,(?=\S)|\.{3,}|\s)\s*")
 
 
 def language(text: str) -> str:
-    """By script: ``hi``, ``ml``, ``en`` for Latin letters, ``und`` if there are few letters."""
-    n = len(text)
-    if text.isascii():
-        letters = sum(map(str.isalpha, text[: 1 << 20])) if n < 200 else n
-        return "en" if letters * 4 >= n else "und"
-    hi = len(_DEVANAGARI.findall(text))
-    ml = len(_MALAYALAM.findall(text))
-    latin = len(_LATIN.findall(text))
-    most, name = max((hi, "hi"), (ml, "ml"), (latin, "en"))
-    return name if most * 4 >= n else "und"
-
-
-_DEVANAGARI = regex.compile("[ऀ-ॿ]")
-_MALAYALAM = regex.compile("[ഀ-ൿ]")
-_LATIN = regex.compile("[A-Za-z]")
-_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
-_STOP = (".", "?", "!", ";", ":", "।", '"', "”", ")")
-
+    """By script: ``hi``, ``ml``, ``en`` for Latin letters, ``und`` if less than a quarter are letters of one of them."""
+    n = {"hi": 0, "ml": 0, "en": 0}
+    if not text.replace("\u20b9", "").isascii():
+        n["hi"], n["ml"] = sum(map(len, _DEVANAGARI.findall(text))), sum(map(len, _MALAYALAM.findall(text)))
+    n["en"] = sum(map(len, _LATIN.findall(text)))
+    most = max(n, key=n.get)
+    return most if n[most] * 4 >= len(text) else "und"
+
+
+_DEVANAGARI = re.compile("[ऀ-ॿ]+")
+_MALAYALAM = re.compile("[ഀ-ൿ]+")
+_LATIN = re.compile("[A-Za-z]+")
+_DIGIT_WORD = re.compile(r"\d\S*")
+_LINE_STOP = re.compile(r"[.?!;।\"”)][^\S\n]*(?=\n|\Z)")
+_LINE = re.compile(r"[^\s][^\n]*")
 
 def shape(text: str, known_share: float, symbol_ratio: float) -> tuple[int, int, float, int, float]:
     """(bullets, labels, share of table cells, longest count 1, 2, 3 ..., words per line)."""
@@ -70,8 +69,11 @@ def shape(text: str, known_share: float, symbol_ratio: float) -> tuple[int, int,
     return len(_BULLET.findall(text)), len(_LABEL.findall(text)), values / max(1, len(cells)), run - 1, len(text.split()) / max(1, text.count("\n") + 1)
 
 
-def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count") -> DataFrame:
-    """One row per row of the table: id, given count, language, words and the STATISTICS; nulls for a null text."""
+def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS) -> DataFrame:
+    """One row per row of the table: id, given count, language, words and the STATISTICS; nulls for a null text.
+
+    ``table`` has the numbers of texts by the upper half of the words' hashes, if they are counted already.
+    """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(count_col).cast("long").alias("given"))
 
@@ -80,10 +82,10 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
         parts = [(hashes(list(set(terms(t)))) >> np.uint64(32)).astype(np.uint32) for t in batch.column(0).to_pylist() if t]
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
-    table = spark.sparkContext.broadcast(count_table(rows.select("text"), DF_BITS, words_of))
+    table = table or spark.sparkContext.broadcast(count_table(rows.select("text"), bits, words_of))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, df, mask = TermHashes(), table.value, np.uint32((1 << DF_BITS) - 1)
+        hashes, df, mask = TermHashes(), table.value, np.uint32((1 << bits) - 1)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -93,16 +95,16 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
                 words, own = text.split(), terms(text)
                 letters = [w for w in own if len(w) > 2 and not w.isdigit()]
                 known = float((df[(hashes(letters) >> np.uint64(32)).astype(np.uint32) & mask] >= KNOWN_IN).mean()) if letters else 0.0
-                lines = [x for x in map(str.rstrip, text.split("\n")) if x]
-                low = [w.strip(".,;:()\"'“”*").lower() for w in words]
-                symbols = len(_SYMBOL.findall(text)) / max(1, len(text))
-                common = sum(w in COMMON for w in low) / max(1, len(words))
+                n, solid, letters_in = max(1, len(words)), len("".join(words)), sum(map(len, own))
+                lang = "en" if sum(map(len, letters)) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
+                symbols = max(0, solid - letters_in) / max(1, len(text))
+                common = sum(map(COMMON.__contains__, own)) / n
                 # the shape is only asked for where it may matter
                 odd = common < 0.28 or symbols > 0.15
                 out.append(
                     (
-                        language(text), len(words), common, known, symbols, sum(any(c.isdigit() for c in w) for w in words) / max(1, len(words)),
-                        sum(map(len, words)) / max(1, len(words)), sum(x.endswith(_STOP) for x in lines) / max(1, len(lines)), len(set(low)) / max(1, len(low)),
+                        lang, len(words), common, known, symbols, len(_DIGIT_WORD.findall(text)) / n, solid / n,
+                        len(_LINE_STOP.findall(text)) / max(1, len(_LINE.findall(text))), len(set(own)) / max(1, len(own)),
                         *(shape(text, known, symbols) if odd else (0, 0, 0.0, 0, 0.0)),
                     )
                 )
@@ -119,7 +121,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
     return rows.select("id", "text", "given").mapInArrow(measure, schema)
 
 
-def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count") -> DataFrame:
+def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS) -> DataFrame:
     """The statistics with, for each, its percentile ``p_`` (a share of 21 quantiles) and robust z-score ``z_`` in the language, and ``kind``.
 
     ``kind`` is ``list``, ``table``, ``junk`` or null (prose, or too little text to tell);
@@ -127,7 +129,7 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     null text everything else is null too. Repeated rows are judged each; other columns are not
     read. The median absolute deviation is estimated by half the spread of the quartiles.
     """
-    told = materialize(statistics(rows, id_col, text_col, count_col), "statistics")
+    told = materialize(statistics(rows, id_col, text_col, count_col, table, bits), "statistics")
     sketches = told.where("words >= 20").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in STATISTICS))
     for s in STATISTICS:
         ranks = F.array(*(F.lit(i / 20) for i in range(21)))
@@ -146,7 +148,8 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     low = lambda s: F.coalesce(F.col(f"z_{s}") < -TAIL, F.lit(False))
     high = lambda s: F.coalesce(F.col(f"z_{s}") > TAIL, F.lit(False))
     english = F.col("language").isin("en", "und")
-    odd = (english & (low("common_share") | (F.col("language") == "und"))) | low("known_share") | high("symbol_ratio")
+    terse = english & (low("common_share") | (F.col("language") == "und"))
+    odd = terse | low("known_share") | high("symbol_ratio")
     words = F.col("words")
     table_ = (F.col("cell_share") >= 0.5) & (F.col("counted") >= 3) & (F.col("common_share") <= 0.06)
     labels = (F.col("labels") >= 4) & (words / F.col("labels") <= 8)
@@ -154,7 +157,7 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     unreadable = (F.col("known_share") < 0.5) | ((F.col("language") == "und") & (F.col("symbol_ratio") > 0.3))
     junk = (words >= 4) & (unreadable | ((F.col("common_share") < 0.03) & (words >= 12) & ~labels))
     # what is readable but has too few common words for prose is an enumeration, marked or not
-    items = labels | bullets | ((words >= 12) & english)
+    items = terse & (labels | bullets | (words >= 12))
     kind = F.when(table_, "table").when(junk, "junk").when(items, "list")
     out = out.withColumn("kind", F.when(F.col("words").isNotNull() & odd, kind)).withColumn("bad_count", F.when(words.isNotNull(), F.coalesce(F.col("given") != words, F.lit(True))))
     return out.drop(*(f"{x}_{s}" for s in STATISTICS for x in ("twentieths", "median", "mad"))).withColumnRenamed("id", id_col)

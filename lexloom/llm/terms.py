@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
-import regex
 
-#: A term is a maximal run of letters, marks and digits of the lower-cased text.
-TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ASCII_TERM = re.compile(r"[a-z0-9]+")
-_PLAIN_TERM = re.compile(r"[^\W_]+")
-#: Outside these ranges Unicode has no marks from U+0300 on.
-_MAY_BE_MARK = re.compile("[\u0300-\u1fff\u20d0-\u20ff\u2c00-\U0010ffff]")
+
+
+def _marks() -> str:
+    """The ranges of all combining marks, as inside a character class."""
+    codes = [c for c in (*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: A term is a maximal run of letters, marks and digits of the lower-cased text.
+_TERM = re.compile(rf"[\w{_marks()}]+")
 
 
 def terms(text: str | None) -> list[str]:
@@ -22,7 +29,7 @@ def terms(text: str | None) -> list[str]:
     low = text.lower()
     if low.isascii() or low.replace("\u20b9", " ").isascii():
         return _ASCII_TERM.findall(low)
-    return (TERM if _MAY_BE_MARK.search(low) else _PLAIN_TERM).findall(low)
+    return _TERM.findall(low.replace("_", " "))
 
 
 def hash64(data: bytes) -> int:
