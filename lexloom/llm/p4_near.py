@@ -27,7 +27,9 @@ DF_BITS = 23
 HOT = 4096
 #: Texts whose bitmaps a routing task holds.
 TEXTS_PER_TASK = 250_000
-LEAF, FAN = 16, 8
+LEAF, FAN = 32, 8
+#: Lists up to this length are compared directly.
+SHORT = 32
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,20 +72,24 @@ class Tree:
             most = np.minimum(hi[left] - miss, hi[right] - back)
             keep = most >= threshold * np.maximum(lo[left], lo[right]) - 1e-9
             left, right = left[keep], right[keep]
-        out = []
-        for at in range(0, len(left), 2048):
-            i, j = self._children(left[at : at + 2048], right[at : at + 2048], len(self.sizes), LEAF)
-            i, j = i[i != j], j[i != j]
-            near = np.minimum(self.sizes[i], self.sizes[j]) >= threshold * np.maximum(self.sizes[i], self.sizes[j]) - 1e-9
-            i, j = i[near], j[near]
-            out.append(self._may(i, j, threshold))
-        i = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-        j = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
-        return self.order[i], self.order[j]
-
-    def _may(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        # leaves against leaves: common bits of the folded bitmaps as a product, then the whole bitmaps
+        half = WORDS // 2
+        bits = np.unpackbits((self.sigs[:, :half] | self.sigs[:, half:]).view(np.uint8), axis=1).astype(np.float32)
+        spare = (self.sizes - bits.sum(1)).astype(np.float32)  # shingles that share a bit with another
+        least = (threshold * self.sizes - 1e-3).astype(np.float32)
+        out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for leaf in np.unique(left):
+            rows = slice(leaf * LEAF, min((leaf + 1) * LEAF, len(self.sizes)))
+            end = int(np.searchsorted(least, self.sizes[rows][-1], side="right"))  # larger texts are too large
+            cols = slice(leaf * LEAF, end)
+            both = bits[rows] @ bits[cols].T
+            both += np.minimum(spare[rows][:, None], spare[cols])
+            i, j = np.nonzero(both >= least[cols])  # sorted by size: the column is the larger text
+            out_i.append(i[i < j] + rows.start)
+            out_j.append(j[i < j] + rows.start)
+        i, j = np.concatenate(out_i), np.concatenate(out_j)
         keep = may_reach(self.sigs, self.sizes, i, j, threshold)
-        return i[keep], j[keep]
+        return self.order[i[keep]], self.order[j[keep]]
 
     @staticmethod
     def _children(left: np.ndarray, right: np.ndarray, n: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +117,7 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     lengths = np.diff(np.append(starts, len(token)))
     found = []
-    few = (lengths > 1) & (lengths <= 2 * LEAF)
+    few = (lengths > 1) & (lengths <= SHORT)
     for n in np.unique(lengths[few]):  # short lists of equal length at once
         rows = doc[starts[few & (lengths == n)][:, None] + np.arange(n)]
         a, b = np.triu_indices(n, 1)
@@ -122,7 +128,7 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
             i, j = i[near], j[near]
             keep = may_reach(sigs, sizes, i, j, threshold)
             found.append(np.minimum(i, j)[keep] << 32 | np.maximum(i, j)[keep])
-    for k in np.flatnonzero(lengths > 2 * LEAF):
+    for k in np.flatnonzero(lengths > SHORT):
         own = np.unique(doc[starts[k] : starts[k] + lengths[k]])
         i, j = Tree(sigs[own], sizes[own]).pairs(threshold)
         i, j = own[i], own[j]
@@ -135,7 +141,7 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
 def exact_copies(rows: DataFrame) -> DataFrame:
     """(pos, rep) of the rows of (pos, text) whose terms are those of a row with a smaller pos."""
     key = F.md5(F.btrim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " ")))
-    keyed = rows.select("pos", key.alias("key"))
+    keyed = materialize(rows.select("pos", key.alias("key")), "keys")
     groups = keyed.groupBy("key").agg(F.min("pos").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(groups, "key").where("pos > rep").select("pos", "rep")
 
@@ -270,3 +276,13 @@ def all_pairs(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text
     both = first.join(same.select(F.col("rep").alias("b"), F.col("pos").alias("y")), "b", "left").select("x", F.explode(F.array("b", "y")).alias("y")).where("y is not null").distinct()
     inner = same.select(F.col("rep").alias("x"), F.col("pos").alias("y")).unionByName(same.alias("s").join(same.alias("t"), "rep").where("s.pos < t.pos").select(F.col("s.pos").alias("x"), F.col("t.pos").alias("y")))
     return both.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def links(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", shingle: int = 3, min_terms: int = 40, threshold: float = 0.7) -> DataFrame:
+    """(pos, rep, n_links) of every row with a text: its class and how many other classes are near it."""
+    pairs, copies = near_duplicates(rows, id_col, text_col, shingle, min_terms, threshold)
+    pairs = materialize(pairs, "pairs")
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("pos"))
+    member = texts.join(copies, "pos", "left").withColumn("rep", F.coalesce("rep", "pos"))
+    return member.join(counts, "rep", "left").select("pos", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
