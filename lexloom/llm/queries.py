@@ -40,24 +40,24 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root, p2_split.split_oversized).select("src", "item_id", "piece_no", "n_pieces", "start_at", "words", "piece")
 
 
-def _scans(spark: SparkSession, root: str) -> list[tuple[str, DataFrame, str, str]]:
-    """Texts that may be scans: what is a list, a table or junk is left out."""
-    chunks = table(spark, root, "chunks")
-    odd = materialize(p5_quality.judged(chunks).where("kind is not null").select("ingest_pos"), "odd")
-    return [
-        ("chunks", chunks.join(odd, "ingest_pos", "left_anti"), "ingest_pos", "text"),
-        ("orchestrator_responses", table(spark, root, "orchestrator_responses"), "response_id", "extracted_text"),
-    ]
+def _scans(spark: SparkSession, root: str, operator: Callable[..., DataFrame]) -> DataFrame:
+    """Texts that may be scans: what is a list, a table or junk is left out. Words are counted once for both."""
+    chunks, answers = table(spark, root, "chunks"), table(spark, root, "orchestrator_responses")
+    scans = [("chunks", chunks, "ingest_pos", "text"), ("orchestrator_responses", answers, "response_id", "extracted_text")]
+    words = p3_scans.word_table(p3_scans.texts_of(scans))
+    odd = p5_quality.judged(chunks, table=words, bits=p3_scans.DF_BITS, kind_only=True).where("kind is not null")
+    odd = materialize(odd.select(F.lit("chunks").alias("src"), F.col("ingest_pos").cast("string").alias("item_id")), "odd")
+    return operator(scans, words).join(odd, ["src", "item_id"], "left_anti")
 
 
 @query
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return p3_scans.find_noise(_scans(spark, root)).select("src", "item_id", "line_no", "kind").distinct()
+    return _scans(spark, root, p3_scans.find_noise).select("src", "item_id", "line_no", "kind").distinct()
 
 
 @query
 def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
-    return p3_scans.repair(_scans(spark, root))
+    return _scans(spark, root, p3_scans.repair)
 
 
 @query
@@ -65,6 +65,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_near.all_pairs(table(spark, root, "chunks")).select(F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
 
 
+@query
+def p4_links(spark: SparkSession, root: str) -> DataFrame:
+    return p4_near.links(table(spark, root, "chunks")).withColumnRenamed("pos", "ingest_pos")
+
+
 @query
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return p5_quality.found(table(spark, root, "chunks"))

@@ -61,7 +61,7 @@ def citation_lists(hits: DataFrame, query: str) -> DataFrame:
 
 def document_query(text: Column, question: Column, cap: int = 3000) -> Column:
     """The query made of an uploaded document and an optional question."""
-    head = F.concat(F.lit("The following is the text of a legal document:\n\n"), F.left(text, F.lit(cap)), F.lit("\n\n"))
+    head = F.concat(F.lit("Text of a legal document:\n\n"), F.left(text, F.lit(cap)), F.lit("\n\n"))
     asked = strip(F.coalesce(question, F.lit(""))) != ""
     return F.when(asked, F.concat(head, F.lit("Answer this question from the document: "), question)).otherwise(F.concat(head, F.lit("Explain its main clauses, rights and duties, and name clauses that may be unfair.")))
 

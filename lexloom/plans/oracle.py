@@ -162,7 +162,7 @@ SELECT response_id, CASE WHEN context IS NOT NULL THEN '[PASSAGES]' || chr(10) |
 SELECT a.response_id, count(f.rank) AS n_hits, (SELECT count(*) FROM cited c WHERE c.response_id = a.response_id AND place = 1) AS n_citations, max(f.score) AS best_score,
   count(f.rank) > 0 AS context_used, CASE WHEN count(f.rank) = 0 THEN '{_q(A.WARNING)}' END AS warning FROM asked a LEFT JOIN found f USING (response_id) GROUP BY 1""",
     "citations_stored": "SELECT response_id, source, section, doc_type, score FROM (SELECT response_id, i, c.source, c.section, c.doc_type, c.score FROM (SELECT response_id, i, citations[i] AS c FROM (SELECT response_id, citations, unnest(range(1, len(citations) + 1)) AS i FROM orchestrator_responses))) QUALIFY row_number() OVER (PARTITION BY response_id, source, section ORDER BY i) = 1",
-    "doc_query_template": f"""SELECT response_id, 'The following is the text of a legal document:' || chr(10) || chr(10) || left(extracted_text, 3000) || chr(10) || chr(10) || CASE WHEN {strip("coalesce(query_used, '')")} <> ''
+    "doc_query_template": f"""SELECT response_id, 'Text of a legal document:' || chr(10) || chr(10) || left(extracted_text, 3000) || chr(10) || chr(10) || CASE WHEN {strip("coalesce(query_used, '')")} <> ''
   THEN 'Answer this question from the document: ' || query_used ELSE 'Explain its main clauses, rights and duties, and name clauses that may be unfair.' END AS query,
   coalesce(nullif({strip('query_used')}, ''), 'Document analysis') AS label FROM orchestrator_responses WHERE extracted_text IS NOT NULL""",
     "validate_request": f"SELECT doc_id, CASE WHEN text IS NULL OR {strip('text')} = '' OR length(text) > 1000 THEN 400 ELSE 200 END AS limited, CASE WHEN text IS NULL OR {strip('text')} = '' THEN 400 ELSE 200 END AS unlimited FROM documents",
