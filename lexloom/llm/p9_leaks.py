@@ -26,7 +26,7 @@ K1, B = 1.2, 0.75
 #: Postings in a block of the index, for which the largest contribution is kept.
 BLOCK = 16
 #: Items in one index; more items are searched block by block, each in a pass of its own.
-MAX_ITEMS = 20_000
+MAX_ITEMS = 5_000
 
 
 class Index:
