@@ -139,11 +139,13 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
 
 
 def exact_copies(rows: DataFrame) -> DataFrame:
-    """(pos, rep) of the rows of (pos, text) whose terms are those of a row with a smaller pos."""
-    key = F.md5(F.btrim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " ")))
-    keyed = materialize(rows.select("pos", key.alias("key")), "keys")
+    """(pos, rep, n_terms) of the rows of (pos, text) whose terms are those of a row with a smaller pos."""
+    joined = F.btrim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " "))
+    n_terms = F.when(F.col("joined") == "", 0).otherwise(F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
+    keyed = rows.select("pos", joined.alias("joined")).select("pos", F.md5("joined").alias("key"), n_terms.alias("n_terms"))
+    keyed = materialize(keyed, "keys")
     groups = keyed.groupBy("key").agg(F.min("pos").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(groups, "key").where("pos > rep").select("pos", "rep")
+    return keyed.join(groups, "key").where("pos > rep").select("pos", "rep", "n_terms")
 
 
 def near_pairs(texts: DataFrame, shingle: int = 3, min_terms: int = 40, threshold: float = 0.7, df_bits: int = DF_BITS) -> DataFrame:
@@ -251,7 +253,7 @@ def near_pairs(texts: DataFrame, shingle: int = 3, min_terms: int = 40, threshol
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", shingle: int = 3, min_terms: int = 40, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Two tables: pairs (a, b) of representatives and membership (pos, rep), each row of its own class too.
+    """Two tables: pairs (a, b) of representatives, and (pos, rep, n_terms) of the further members of each class.
 
     Rows with the same terms form a class; its smallest id is the representative. Null texts are in
     no class; texts of fewer than ``min_terms`` terms are in no pair. The overlap is the number of
@@ -268,10 +270,7 @@ def all_pairs(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text
     """(a, b), a < b: :func:`near_duplicates` with the copies of each class written out."""
     pairs, copies = near_duplicates(rows, id_col, text_col, shingle, min_terms, threshold)
     pairs = materialize(pairs, "pairs")
-    texts = rows.select(F.col(id_col).cast("long").alias("pos"), F.col(text_col).alias("text"))
-    # classes of long enough texts: a copy of a text has as many terms
-    long = texts.join(copies.select(F.col("rep").alias("pos")).distinct(), "pos").where(F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)) >= min_terms).select(F.col("pos").alias("rep"))
-    same = copies.join(long, "rep")
+    same = copies.where(F.col("n_terms") >= min_terms).select("pos", "rep")  # a copy has as many terms as its representative
     first = pairs.join(same.select(F.col("rep").alias("a"), F.col("pos").alias("x")), "a", "left").select(F.explode(F.array("a", "x")).alias("x"), "b").where("x is not null").distinct()
     both = first.join(same.select(F.col("rep").alias("b"), F.col("pos").alias("y")), "b", "left").select("x", F.explode(F.array("b", "y")).alias("y")).where("y is not null").distinct()
     inner = same.select(F.col("rep").alias("x"), F.col("pos").alias("y")).unionByName(same.alias("s").join(same.alias("t"), "rep").where("s.pos < t.pos").select(F.col("s.pos").alias("x"), F.col("t.pos").alias("y")))
@@ -284,5 +283,5 @@ def links(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", s
     pairs = materialize(pairs, "pairs")
     counts = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("pos"))
-    member = texts.join(copies, "pos", "left").withColumn("rep", F.coalesce("rep", "pos"))
+    member = texts.join(copies.select("pos", "rep"), "pos", "left").withColumn("rep", F.coalesce("rep", "pos"))
     return member.join(counts, "rep", "left").select("pos", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
