@@ -69,9 +69,10 @@ def shape(text: str, known_share: float, symbol_ratio: float) -> tuple[int, int,
     return len(_BULLET.findall(text)), len(_LABEL.findall(text)), values / max(1, len(cells)), run - 1, len(text.split()) / max(1, text.count("\n") + 1)
 
 
-def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS) -> DataFrame:
+def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS, kind_only: bool = False) -> DataFrame:
     """One row per row of the table: id, given count, language, words and the STATISTICS; nulls for a null text.
 
+    With ``kind_only`` the statistics that do not bear on the kind are null.
     ``table`` has the numbers of texts by the upper half of the words' hashes, if they are counted already.
     """
     spark = rows.sparkSession
@@ -99,12 +100,14 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
                 lang = "en" if sum(map(len, letters)) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
                 symbols = max(0, solid - letters_in) / max(1, len(text))
                 common = sum(map(COMMON.__contains__, own)) / n
+                rest = (None,) * 4
+                if not kind_only:
+                    rest = len(_DIGIT_WORD.findall(text)) / n, solid / n, len(_LINE_STOP.findall(text)) / max(1, len(_LINE.findall(text))), len(set(own)) / max(1, len(own))
                 # the shape is only asked for where it may matter
                 odd = common < 0.28 or symbols > 0.15
                 out.append(
                     (
-                        lang, len(words), common, known, symbols, len(_DIGIT_WORD.findall(text)) / n, solid / n,
-                        len(_LINE_STOP.findall(text)) / max(1, len(_LINE.findall(text))), len(set(own)) / max(1, len(own)),
+                        lang, len(words), common, known, symbols, *rest,
                         *(shape(text, known, symbols) if odd else (0, 0, 0.0, 0, 0.0)),
                     )
                 )
@@ -121,7 +124,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
     return rows.select("id", "text", "given").mapInArrow(measure, schema)
 
 
-def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS) -> DataFrame:
+def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS, kind_only: bool = False) -> DataFrame:
     """The statistics with, for each, its percentile ``p_`` (a share of 21 quantiles) and robust z-score ``z_`` in the language, and ``kind``.
 
     ``kind`` is ``list``, ``table``, ``junk`` or null (prose, or too little text to tell);
@@ -129,21 +132,22 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     null text everything else is null too. Repeated rows are judged each; other columns are not
     read. The median absolute deviation is estimated by half the spread of the quartiles.
     """
-    told = materialize(statistics(rows, id_col, text_col, count_col, table, bits), "statistics")
-    sketches = told.where("words >= 20").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in STATISTICS))
-    for s in STATISTICS:
+    told = materialize(statistics(rows, id_col, text_col, count_col, table, bits, kind_only), "statistics")
+    asked = STATISTICS[:3] if kind_only else STATISTICS
+    sketches = told.where("words >= 20").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in asked))
+    for s in asked:
         ranks = F.array(*(F.lit(i / 20) for i in range(21)))
         sketches = sketches.withColumn(f"twentieths_{s}", F.kll_sketch_get_quantile_double(f"sketch_{s}", ranks))
-    for s in STATISTICS:
+    for s in asked:
         q = F.col(f"twentieths_{s}")
         sketches = sketches.withColumns({f"median_{s}": q[10], f"mad_{s}": F.greatest((q[15] - q[5]) / 2, F.lit(0.01))})
-    sketches = sketches.drop(*(f"sketch_{s}" for s in STATISTICS))
+    sketches = sketches.drop(*(f"sketch_{s}" for s in asked))
 
     def below(s: str) -> Column:
         return F.size(F.filter(f"twentieths_{s}", lambda q: q < F.col(s))) / 21
 
     out = told.join(F.broadcast(sketches), "language", "left")  # a handful of languages
-    for s in STATISTICS:
+    for s in asked:
         out = out.withColumn(f"p_{s}", below(s)).withColumn(f"z_{s}", (F.col(s) - F.col(f"median_{s}")) / (F.col(f"mad_{s}") * 1.4826))
     low = lambda s: F.coalesce(F.col(f"z_{s}") < -TAIL, F.lit(False))
     high = lambda s: F.coalesce(F.col(f"z_{s}") > TAIL, F.lit(False))
@@ -160,7 +164,7 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     items = terse & (labels | bullets | (words >= 12))
     kind = F.when(table_, "table").when(junk, "junk").when(items, "list")
     out = out.withColumn("kind", F.when(F.col("words").isNotNull() & odd, kind)).withColumn("bad_count", F.when(words.isNotNull(), F.coalesce(F.col("given") != words, F.lit(True))))
-    return out.drop(*(f"{x}_{s}" for s in STATISTICS for x in ("twentieths", "median", "mad"))).withColumnRenamed("id", id_col)
+    return out.drop(*(f"{x}_{s}" for s in asked for x in ("twentieths", "median", "mad"))).withColumnRenamed("id", id_col)
 
 
 def found(rows: DataFrame) -> DataFrame:
