@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_sample
 from .boost import Trees
 
 #: Documents the trees are trained on, at most.
@@ -210,11 +211,12 @@ class Model:
 
 
 def train(docs: DataFrame, register: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, max_register: int = MAX_REGISTER) -> Model:
-    """Trees from at most ``sample`` documents, those with the smallest hashes of their ids."""
+    """Trees from at most ``sample`` documents, chosen by a hash of their ids."""
     parts = register.where("name_part is not null").select("name_part", "kind").distinct().limit(max_register + 1).collect()
     if len(parts) > max_register:
         raise ValueError("the register is larger than max_register")
-    rows = docs.where(F.length(text_col) > 0).select(text_col, F.xxhash64(id_col).alias("h")).orderBy("h").limit(sample).collect()
+    full = docs.where(F.length(text_col) > 0).select(text_col, id_col)
+    rows = bounded_sample(full, id_col, full.count(), sample).collect()
     return Model(Register([(r.name_part, r.kind) for r in parts])).fit([r[0] for r in rows])
 
 

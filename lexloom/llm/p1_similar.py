@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bounded_sample, materialize
 
 #: Largest number of pivots (sampled vectors that every executor holds).
 MAX_PIVOTS = 16_384
@@ -132,7 +132,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     reps = rows.join(copies.select("id"), "id", "left_anti")
     count = ids.count() - copies.count()
     n_pivots = int(min(max_pivots, max(probes, count // per_pivot)))
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(2 * n_pivots + 10).select("vec").collect()
+    sample = bounded_sample(reps, "id", count, n_pivots).select("vec").collect()
     good = units(pa.array([r.vec for r in sample], pa.list_(pa.float32())), dim)[2][:n_pivots]
     shared = spark.sparkContext.broadcast((good.astype(np.float32), np.random.RandomState(7).standard_normal((dim, projections))))
     probes = min(probes, len(good))
