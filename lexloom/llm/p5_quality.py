@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .tables import count_table
-from .terms import TermHashes, terms
+from .terms import TermHashes, WordCounts, terms
 
 DF_BITS = 22
 #: A word is known if at least this many texts have it (a lower bound for small corpora).
@@ -86,7 +86,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
     table = table or spark.sparkContext.broadcast(count_table(rows.select("text"), bits, words_of))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, df, mask = TermHashes(), table.value, np.uint32((1 << bits) - 1)
+        counts = WordCounts(table.value)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -95,7 +95,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
                     continue
                 words, own = text.split(), terms(text)
                 letters = [w for w in own if len(w) > 2 and not w.isdigit()]
-                known = float((df[(hashes(letters) >> np.uint64(32)).astype(np.uint32) & mask] >= KNOWN_IN).mean()) if letters else 0.0
+                known = float((counts(letters) >= KNOWN_IN).mean()) if letters else 0.0
                 n, solid, letters_in = max(1, len(words)), len("".join(words)), sum(map(len, own))
                 lang = "en" if sum(map(len, letters)) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
                 symbols = max(0, solid - letters_in) / max(1, len(text))
