@@ -1,24 +1,25 @@
 """Repair of text from scanned pages.
 
-Words are grouped by a skeleton of easily confused glyphs; a rare form gives way to the frequent
-form of its group that its neighbours support. Running titles are lines that recur across texts
+Words are grouped by a skeleton of easily confused glyphs; a form gives way to a form of its group
+that is many times as frequent and that its neighbours support. Running titles are lines that recur across texts
 once digits are masked. Lines are joined into paragraphs with SQL windows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .tables import count_table
-from .terms import TermHashes, WordCounts, hash64, shingle_hashes, terms
+from .terms import KnownHashes, TermHashes, hash64, shingle_hashes, terms
 
 DF_BITS = 23
 #: A running title stands in at least this many texts.
@@ -60,6 +61,14 @@ def skeleton(word: str) -> str:
     return word
 
 
+def skeletons(word: Column) -> Column:
+    """:func:`skeleton` as a column."""
+    word = F.lower(word)
+    for wrong, right in GLYPHS:
+        word = F.replace(word, F.lit(wrong), F.lit(right))
+    return word
+
+
 def title_key(line: str) -> str | None:
     """A line in capitals with its numbers masked, or null if it can't be a running title."""
     line = line.strip()
@@ -137,7 +146,51 @@ def word_table(texts: DataFrame) -> Broadcast:
     return texts.sparkSession.sparkContext.broadcast(count_table(texts.select("text"), DF_BITS, count))
 
 
-def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None) -> DataFrame:
+def each_once(texts: DataFrame) -> DataFrame:
+    """The texts without repeated rows of an id; they are only shuffled if there are any."""
+    ids = texts.groupBy("src", "item_id").count().where("count > 1")
+    return texts if ids.isEmpty() else texts.distinct()
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(kind, key, hash, n): in how many texts each word and pair of words stands, without bound.
+
+    ``kind`` is ``word`` or ``pair``; ``key`` is the word, null for a pair.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHashes()
+        for batch in batches:
+            words, pairs = Counter(), [np.empty(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
+                own = words_of(text.lower())
+                pairs.append(np.unique(shingle_hashes(hashes(own), 2)))
+                words.update(set(own) if text.isascii() else {*own, *terms(text)})
+            pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+            kinds = ["word"] * len(words) + ["pair"] * len(pairs)
+            keys = [*words, *[None] * len(pairs)]
+            own = np.concatenate([hashes([*words]), pairs]).view(np.int64)
+            n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(own), pa.array(n)], names=["kind", "key", "hash", "n"])
+
+    counted = each_once(texts).select("text").mapInArrow(count, "kind string, key string, hash long, n long")
+    return materialize(counted.groupBy("kind", "key", "hash").agg(F.sum("n").alias("n")), "counts")
+
+
+def frequent_forms(counts: DataFrame) -> DataFrame:
+    forms = counts.where((F.col("kind") == "word") & (F.col("n") >= FREQUENT) & F.col("key").rlike("^[a-zã]{2,}$"))
+    return forms.select(F.col("key").alias("form"), skeletons(F.col("key")).alias("skeleton"), F.col("n").alias("form_n"))
+
+
+def suspect_words(counts: DataFrame) -> Broadcast:
+    """The hashes of the words for which there is a form TIMES as frequent with the same skeleton."""
+    words = counts.where((F.col("kind") == "word") & F.col("key").rlike("^[a-zã0-9!]{3,}$") & (F.col("key").rlike("^[a-zã]+$") | F.col("key").rlike("[a-zã].*[a-zã]")))
+    words = words.withColumn("skeleton", skeletons(F.col("key")))
+    found = words.join(frequent_forms(counts), "skeleton").where((F.col("key") != F.col("form")) & (F.col("form_n") >= TIMES * F.col("n")))
+    return counts.sparkSession.sparkContext.broadcast(KnownHashes.collect(found))
+
+
+def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(src, item_id, line_no, kind, wrong, right) of the noise in texts.
 
     ``tables`` has, for each table, its name, rows, id and text column. Lines are counted from 1
@@ -149,33 +202,28 @@ def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | No
     texts = texts_of(tables)
     spark = texts.sparkSession
     mask = np.uint32((1 << DF_BITS) - 1)
-    # a wrong form is one in hundreds of its word; counts end at 65535
-    rare = min(5000, max(5 * FREQUENT, texts.count() // 500))
 
     df = df or word_table(texts)
+    counts = counts if counts is not None else word_counts(texts)
+    suspect = suspect_words(counts)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = df.value
-        of = WordCounts(table)
+        is_suspect = KnownHashes(suspect.value)
         reader = Reader(lambda key: table[((hash64(b"title " + key.encode()) & 0xFFFFFFFFFFFFFFFF) >> 32) & int(mask)] >= TITLE_IN)
-        told: set[str] = set()
 
-        def suspects(tokens: list[str], at: list[int] | None, out: list[tuple], src: str, item: str) -> None:
-            """Rare words and, once each, frequent ones; ``at`` has the words' lines, if not all are in line 1."""
+        def suspects(tokens: list[str], at: list[int] | None, joined: set[str], out: list[tuple], src: str, item: str) -> None:
+            """Words that may be wrong; ``joined`` has those put together here, which may not be counted; ``at`` has the words' lines, if not all are in line 1."""
             if not tokens:
                 return
             low = " ".join(tokens).lower().split(" ")
-            n = of(low)
-            if fresh := set(low).difference(told):
-                if len(told) > 1_000_000:
-                    told.clear()
-                told.update(fresh)
-                names = [w for w in fresh if len(w) > 1 and w.isalpha()]
-                out += [(None, None, None, "form", w, skeleton(w), k, None, None) for w, k in zip(names, of(names).tolist()) if k >= FREQUENT]
-            for i in np.flatnonzero(n < rare).tolist():
+            hits = is_suspect(low)
+            if joined:
+                hits |= np.fromiter(map(joined.__contains__, low), bool, len(low))
+            for i in np.flatnonzero(hits).tolist():
                 word = low[i]
                 if len(word) > 2 and (word.isalpha() or sum(map(str.isalpha, word)) > 1):
-                    out.append((src, item, at[i] if at else 1, "glyph", tokens[i], skeleton(word), int(n[i]), low[i - 1] if i else None, low[i + 1] if i + 1 < len(low) else None))
+                    out.append((src, item, at[i] if at else 1, "glyph", tokens[i], low[i - 1] if i else None, low[i + 1] if i + 1 < len(low) else None))
 
         for batch in batches:
             out: list[tuple] = []
@@ -184,56 +232,66 @@ def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | No
                 if len(lines) == 1:
                     heads = [m for m in (_CAPITALS.finditer(text) if _CAPITAL_RUN.search(text) else ()) if (k := title_key(m[0])) and reader.titles(k)]
                     if heads:
-                        out.append((src, item, 1, "header", *[None] * 5))
+                        out.append((src, item, 1, "header", *[None] * 3))
                     rest = text
                     for m in reversed(heads):
                         rest = rest[: m.start()] + " " + rest[m.end() :]
                     if any(sign in rest for sign in (" - ", " — ", " – ", "( ", "[Pg", "[pg", "page ", "Page ", "PAGE ", "a g e ")) and _PAGENO_INLINE.search(rest):
-                        out.append((src, item, 1, "pageno", *[None] * 5))
+                        out.append((src, item, 1, "pageno", *[None] * 3))
                         rest = _PAGENO_INLINE.sub(" ", rest)
                     if any(c in rest for c in _HYPHENS) and _CUT_INLINE.search(rest):
-                        out.append((src, item, 1, "hyphen", *[None] * 5))
+                        out.append((src, item, 1, "hyphen", *[None] * 3))
+                        parted = set(words_of(rest.lower()))
                         rest = _CUT_INLINE.sub("", rest)
-                    suspects(words_of(rest), None, out, src, item)
+                        suspects(words_of(rest), None, set(words_of(rest.lower())) - parted, out, src, item)
+                    else:
+                        suspects(words_of(rest), None, set(), out, src, item)
                     continue
                 kinds = reader.kinds(lines)
-                out += [(src, item, i, k, *[None] * 5) for i, k in enumerate(kinds, 1) if k in ("header", "pageno")]
+                out += [(src, item, i, k, *[None] * 3) for i, k in enumerate(kinds, 1) if k in ("header", "pageno")]
                 running = [i for i, k in enumerate(kinds) if k == "text"]
                 tokens: list[tuple[int, str]] = []
                 joined: str | None = None
+                wholes: set[str] = set()
                 for at, i in enumerate(running):
                     words = words_of(lines[i])
                     if joined is not None and words:  # the word began on the line before
                         whole = joined + words[0]
                         tokens.append((running[at - 1] + 1, whole))
+                        wholes.add(whole.lower())
                         words = words[1:]
                     joined = None
                     cut = _CUT.search(lines[i])
                     if cut and at + 1 < len(running) and re.match(r"\s*[^\W\d_]", lines[running[at + 1]]):
-                        out.append((src, item, i + 1, "hyphen", *[None] * 5))
+                        out.append((src, item, i + 1, "hyphen", *[None] * 3))
                         joined, words = (words[-1], words[:-1]) if words else (None, words)
                     tokens += [(i + 1, w) for w in words]
-                suspects([w for _, w in tokens], [i for i, _ in tokens], out, src, item)
-            cols = list(zip(*out)) or [()] * 9
-            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["src", "item_id", "line_no", "kind", "word", "skeleton", "n", "before", "after"])
+                suspects([w for _, w in tokens], [i for i, _ in tokens], wholes, out, src, item)
+            cols = list(zip(*out)) or [()] * 7
+            types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["src", "item_id", "line_no", "kind", "word", "before", "after"])
 
-    seen = materialize(texts.mapInArrow(look, "src string, item_id string, line_no int, kind string, word string, skeleton string, n int, before string, after string"), "seen")
+    seen = materialize(texts.mapInArrow(look, "src string, item_id string, line_no int, kind string, word string, before string, after string"), "seen")
     seen = seen.distinct()
-    forms = seen.where("kind = 'form'").select(F.col("word").alias("form"), "skeleton", F.col("n").alias("form_n")).distinct()
-    glyph = seen.where("kind = 'glyph'").join(forms, "skeleton").where((F.lower("word") != F.col("form")) & (F.col("form_n") >= TIMES * F.col("n")))
+    low = F.lower("word")
+    known = counts.where("kind = 'word'").select(F.col("key").alias("low"), "n")
+    glyph = seen.where("kind = 'glyph'").withColumns({"low": low, "skeleton": skeletons(low)}).join(known, "low", "left").join(frequent_forms(counts), "skeleton")
+    glyph = glyph.where((F.col("low") != F.col("form")) & (F.col("form_n") >= TIMES * F.coalesce("n", F.lit(0))))
 
-    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = df.value, TermHashes()
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHashes()
         for batch in batches:
-            rows = batch.to_pylist()
-            with_before = [[r["before"] or "", r["form"]] for r in rows]
-            with_after = [[r["form"], r["after"] or ""] for r in rows]
-            n = [max(int(table[int(shingle_hashes(hashes(p), 2)[0] >> np.uint64(32)) & int(mask)]) for p in pairs) for pairs in zip(with_before, with_after)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "item_id", "line_no", "word", "form", "form_n", "n")), pa.array(n, pa.int32())], names=["src", "item_id", "line_no", "wrong", "right", "form_n", "n", "support"])
-
-    cols = ["src", "item_id", "line_no", "word", "form", "form_n", "n", "before", "after"]
-    glyph = glyph.select(*cols).mapInArrow(support, "src string, item_id string, line_no int, wrong string, right string, form_n int, n int, support int")
+            before, after, form = (batch.column(c).to_pylist() for c in ("before", "after", "form"))
+            key = lambda a, b: None if a is None or b is None else int(shingle_hashes(hashes([a, b]), 2).view(np.int64)[0])
+            keys = [pa.array(map(key, a, b), pa.int64()) for a, b in ((before, form), (form, after))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("src", "item_id", "line_no", "word", "form", "form_n")), *keys], names=["src", "item_id", "line_no", "wrong", "right", "form_n", "pair_before", "pair_after"])
+
+    glyph = glyph.select("src", "item_id", "line_no", "word", "form", "form_n", "before", "after")
+    glyph = glyph.mapInArrow(pair_up, "src string, item_id string, line_no int, wrong string, right string, form_n long, pair_before long, pair_after long")
+    for side in ("before", "after"):
+        pairs = counts.where("kind = 'pair'").select(F.col("hash").alias(f"pair_{side}"), F.col("n").alias(f"n_{side}"))
+        glyph = glyph.join(pairs, f"pair_{side}", "left")
+    glyph = glyph.withColumn("support", F.greatest(F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))))
     odd = F.col("wrong").rlike("[0-9!ã]")
     glyph = glyph.where(odd | (F.col("support") >= 2))
     best = Window.partitionBy("src", "item_id", "line_no", "wrong").orderBy(F.desc("support"), F.desc("form_n"), "right")
@@ -243,7 +301,7 @@ def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | No
     return plain.unionByName(glyph.select("src", "item_id", "line_no", F.lit("glyph").alias("kind"), "wrong", "right"))
 
 
-def repair(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None) -> DataFrame:
+def repair(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(src, item_id, paragraph_no, paragraph): the texts as continuous paragraphs.
 
     Running titles, page numbers and the extractor's page marks are dropped, cut words joined and
@@ -251,7 +309,7 @@ def repair(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None =
     breaks cut words and wrong forms are mended and marked page numbers dropped. Null and blank
     texts have no paragraph.
     """
-    noise = materialize(find_noise(tables, df), "noise")
+    noise = materialize(find_noise(tables, df, counts), "noise")
     texts = texts_of(tables).distinct()
     by_line = noise.groupBy("src", "item_id", "line_no").agg(F.collect_set("kind").alias("kinds"), F.collect_list(F.when(F.col("kind") == "glyph", F.struct("wrong", "right"))).alias("words"))
     lines = texts.select("src", "item_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)

@@ -75,6 +75,35 @@ class WordCounts:
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+class KnownHashes:
+    """Tells which words' 64-bit hashes are in a sorted array; remembers at most ``limit`` words."""
+
+    def __init__(self, table: np.ndarray, limit: int = 1_000_000):
+        self.table, self.limit, self.known = table, limit, {}
+
+    @staticmethod
+    def collect(rows) -> np.ndarray:
+        """The distinct values of the column ``hash`` of a DataFrame, sorted: eight bytes each on the driver."""
+        found = rows.select("hash").distinct().toArrow().column(0)
+        return np.unique(found.to_numpy())
+
+    def has(self, value: int) -> bool:
+        at = int(np.searchsorted(self.table, value))
+        return at < len(self.table) and int(self.table[at]) == value
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), bool, len(words))
+        except KeyError:
+            if len(known) > self.limit:
+                known.clear()
+            for w in set(words):
+                if w not in known:
+                    known[w] = self.has(hash64(w.encode("utf-8", "surrogatepass")))
+            return np.fromiter(map(known.__getitem__, words), bool, len(words))
+
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 

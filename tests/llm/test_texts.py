@@ -60,6 +60,13 @@ def test_scans(spark):
     assert p3_scans.find_noise([("t", df.limit(0), "id", "text")]).count() == 0
 
 
+def test_a_wrong_form_of_any_number_of_texts(spark):
+    rows = [(i, f"Case {i}: the learned tribunal sat.") for i in range(900)] + [(i, f"Case {i}: the learned tribuna1 sat.") for i in range(1000, 1070)]
+    df = spark.createDataFrame(rows * 2, "id int, text string")  # repeated rows count once
+    found = {r.item_id for r in p3_scans.find_noise([("t", df, "id", "text")]).where("kind = 'glyph' and right = 'tribunal'").collect()}
+    assert found == {str(i) for i in range(1000, 1070)}
+
+
 def test_statistics(spark):
     rng = random.Random(1)
     prose = [" ".join(rng.choice(["The tribunal held that the claim of the tenant was not in time.", "It is for the lessor to show that the notice was served on him.", "No order was made as to the costs of the appeal before us."]) for _ in range(8)) for _ in range(80)]
