@@ -18,10 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import count_table
 from .terms import KnownHashes, TermHashes, hash64, shingle_hashes, terms
 
-DF_BITS = 23
 #: A running title stands in at least this many texts.
 TITLE_IN = 4
 #: A form is frequent from this many texts on, and must be so many times as frequent as the form it replaces.
@@ -127,25 +125,6 @@ def texts_of(rows: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def word_table(texts: DataFrame) -> Broadcast:
-    """In how many texts each word, pair of words and possible running title stands."""
-
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        hashes, out, keys = TermHashes(), [], []
-        for text in batch.column(0).to_pylist():
-            h = hashes(words_of(text.lower()))
-            own = [h, shingle_hashes(h, 2)]
-            if not text.isascii():
-                own.append(hashes(terms(text)))
-            out.append(np.unique(np.concatenate(own)))
-            if "\n" in text:
-                keys += [hash64(b"title " + k.encode()) for k in {title_key(x) for x in text.split("\n")} if k]
-        out.append(np.array(keys, np.int64).view(np.uint64))
-        return (np.concatenate(out) >> np.uint64(32)).astype(np.uint32)
-
-    return texts.sparkSession.sparkContext.broadcast(count_table(texts.select("text"), DF_BITS, count))
-
-
 def each_once(texts: DataFrame) -> DataFrame:
     """The texts without repeated rows of an id; they are only shuffled if there are any."""
     ids = texts.groupBy("src", "item_id").count().where("count > 1")
@@ -153,30 +132,38 @@ def each_once(texts: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, hash, n): in how many texts each word and pair of words stands, without bound.
+    """(kind, key, hash, n): in how many texts each word, pair of words and possible running title stands, without bound.
 
-    ``kind`` is ``word`` or ``pair``; ``key`` is the word, null for a pair.
+    ``kind`` is ``word``, ``pair`` or ``title``; ``key`` is the word or the title's key, null for a
+    pair. Pairs are told apart by 64-bit hashes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHashes()
         for batch in batches:
-            words, pairs = Counter(), [np.empty(0, np.uint64)]
+            words, titles, pairs = Counter(), Counter(), [np.empty(0, np.uint64)]
             for text in batch.column(0).to_pylist():
                 own = words_of(text.lower())
                 pairs.append(np.unique(shingle_hashes(hashes(own), 2)))
                 words.update(set(own) if text.isascii() else {*own, *terms(text)})
+                if "\n" in text:
+                    titles.update({k for k in map(title_key, text.split("\n")) if k})
             pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
-            kinds = ["word"] * len(words) + ["pair"] * len(pairs)
-            keys = [*words, *[None] * len(pairs)]
-            own = np.concatenate([hashes([*words]), pairs]).view(np.int64)
-            n = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n])
+            kinds = ["word"] * len(words) + ["title"] * len(titles) + ["pair"] * len(pairs)
+            keys = [*words, *titles, *[None] * len(pairs)]
+            own = np.concatenate([hashes([*words, *titles]), pairs]).view(np.int64)
+            n = np.concatenate([np.array([*words.values(), *titles.values()], np.int64), n])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(own), pa.array(n)], names=["kind", "key", "hash", "n"])
 
     counted = each_once(texts).select("text").mapInArrow(count, "kind string, key string, hash long, n long")
     return materialize(counted.groupBy("kind", "key", "hash").agg(F.sum("n").alias("n")), "counts")
 
 
+def known_hashes(counts: DataFrame, kind: str, least: int) -> Broadcast:
+    """The hashes of the keys of a kind that stand in at least so many texts."""
+    return counts.sparkSession.sparkContext.broadcast(KnownHashes.collect(counts.where((F.col("kind") == kind) & (F.col("n") >= least))))
+
+
 def frequent_forms(counts: DataFrame) -> DataFrame:
     forms = counts.where((F.col("kind") == "word") & (F.col("n") >= FREQUENT) & F.col("key").rlike("^[a-zã]{2,}$"))
     return forms.select(F.col("key").alias("form"), skeletons(F.col("key")).alias("skeleton"), F.col("n").alias("form_n"))
@@ -190,27 +177,23 @@ def suspect_words(counts: DataFrame) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(KnownHashes.collect(found))
 
 
-def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None, counts: DataFrame | None = None) -> DataFrame:
+def find_noise(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None) -> DataFrame:
     """(src, item_id, line_no, kind, wrong, right) of the noise in texts.
 
     ``tables`` has, for each table, its name, rows, id and text column. Lines are counted from 1
     and end at ``\\n``; kinds are ``header``, ``pageno``, ``hyphen`` and ``glyph``; ``wrong`` and
     ``right`` are the forms of a word with wrong glyphs, else null. In a text without line breaks
     every finding has line_no 1. Null texts have none; repeated rows of an id count once; titles
-    and words are counted over all texts, or by ``df``, a table made by :func:`word_table`.
+    and words are counted over all texts, or by ``counts``, made by :func:`word_counts`.
     """
     texts = texts_of(tables)
-    spark = texts.sparkSession
-    mask = np.uint32((1 << DF_BITS) - 1)
-
-    df = df or word_table(texts)
     counts = counts if counts is not None else word_counts(texts)
-    suspect = suspect_words(counts)
+    suspect, titles = suspect_words(counts), known_hashes(counts, "title", TITLE_IN)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = df.value
         is_suspect = KnownHashes(suspect.value)
-        reader = Reader(lambda key: table[((hash64(b"title " + key.encode()) & 0xFFFFFFFFFFFFFFFF) >> 32) & int(mask)] >= TITLE_IN)
+        titles_known = KnownHashes(titles.value)
+        reader = Reader(lambda key: titles_known.has(hash64(key.encode())))
 
         def suspects(tokens: list[str], at: list[int] | None, joined: set[str], out: list[tuple], src: str, item: str) -> None:
             """Words that may be wrong; ``joined`` has those put together here, which may not be counted; ``at`` has the words' lines, if not all are in line 1."""
@@ -301,7 +284,7 @@ def find_noise(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | No
     return plain.unionByName(glyph.select("src", "item_id", "line_no", F.lit("glyph").alias("kind"), "wrong", "right"))
 
 
-def repair(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None = None, counts: DataFrame | None = None) -> DataFrame:
+def repair(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None) -> DataFrame:
     """(src, item_id, paragraph_no, paragraph): the texts as continuous paragraphs.
 
     Running titles, page numbers and the extractor's page marks are dropped, cut words joined and
@@ -309,7 +292,7 @@ def repair(tables: list[tuple[str, DataFrame, str, str]], df: Broadcast | None =
     breaks cut words and wrong forms are mended and marked page numbers dropped. Null and blank
     texts have no paragraph.
     """
-    noise = materialize(find_noise(tables, df, counts), "noise")
+    noise = materialize(find_noise(tables, counts), "noise")
     texts = texts_of(tables).distinct()
     by_line = noise.groupBy("src", "item_id", "line_no").agg(F.collect_set("kind").alias("kinds"), F.collect_list(F.when(F.col("kind") == "glyph", F.struct("wrong", "right"))).alias("words"))
     lines = texts.select("src", "item_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)

@@ -18,10 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import count_table
-from .terms import TermHashes, WordCounts, terms
+from .terms import KnownHashes, TermHashes, terms
 
-DF_BITS = 22
 #: A word is known if at least this many texts have it (a lower bound for small corpora).
 KNOWN_IN = 5
 #: Robust z-scores beyond which a statistic is in the tail.
@@ -69,24 +67,28 @@ def shape(text: str, known_share: float, symbol_ratio: float) -> tuple[int, int,
     return len(_BULLET.findall(text)), len(_LABEL.findall(text)), values / max(1, len(cells)), run - 1, len(text.split()) / max(1, text.count("\n") + 1)
 
 
-def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS, kind_only: bool = False) -> DataFrame:
+def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, kind_only: bool = False) -> DataFrame:
     """One row per row of the table: id, given count, language, words and the STATISTICS; nulls for a null text.
 
     With ``kind_only`` the statistics that do not bear on the kind are null.
-    ``table`` has the numbers of texts by the upper half of the words' hashes, if they are counted already.
+    ``table`` has the sorted hashes of the known words, if they are counted already.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(count_col).cast("long").alias("given"))
 
-    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHashes()
-        parts = [(hashes(list(set(terms(t)))) >> np.uint64(32)).astype(np.uint32) for t in batch.column(0).to_pylist() if t]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        for batch in batches:
+            parts = [np.empty(0, np.uint64), *(hashes([*set(terms(t))]) for t in batch.column(0).to_pylist() if t)]
+            own, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    table = table or spark.sparkContext.broadcast(count_table(rows.select("text"), bits, words_of))
+    if table is None:
+        counts = rows.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        table = spark.sparkContext.broadcast(KnownHashes.collect(counts.where(F.col("n") >= KNOWN_IN)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = WordCounts(table.value)
+        known_words = KnownHashes(table.value)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -95,7 +97,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
                     continue
                 words, own = text.split(), terms(text)
                 letters = [w for w in own if len(w) > 2 and not w.isdigit()]
-                known = float((counts(letters) >= KNOWN_IN).mean()) if letters else 0.0
+                known = float(known_words(letters).mean()) if letters else 0.0
                 n, solid, letters_in = max(1, len(words)), len("".join(words)), sum(map(len, own))
                 lang = "en" if sum(map(len, letters)) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
                 symbols = max(0, solid - letters_in) / max(1, len(text))
@@ -124,7 +126,7 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
     return rows.select("id", "text", "given").mapInArrow(measure, schema)
 
 
-def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, bits: int = DF_BITS, kind_only: bool = False) -> DataFrame:
+def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, kind_only: bool = False) -> DataFrame:
     """The statistics with, for each, its percentile ``p_`` (a share of 21 quantiles) and robust z-score ``z_`` in the language, and ``kind``.
 
     ``kind`` is ``list``, ``table``, ``junk`` or null (prose, or too little text to tell);
@@ -132,7 +134,7 @@ def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text",
     null text everything else is null too. Repeated rows are judged each; other columns are not
     read. The median absolute deviation is estimated by half the spread of the quartiles.
     """
-    told = materialize(statistics(rows, id_col, text_col, count_col, table, bits, kind_only), "statistics")
+    told = materialize(statistics(rows, id_col, text_col, count_col, table, kind_only), "statistics")
     asked = STATISTICS[:3] if kind_only else STATISTICS
     sketches = told.where("words >= 20").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in asked))
     for s in asked:

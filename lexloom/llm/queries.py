@@ -44,10 +44,11 @@ def _scans(spark: SparkSession, root: str, operator: Callable[..., DataFrame]) -
     """Texts that may be scans: what is a list, a table or junk is left out. Words are counted once for both."""
     chunks, answers = table(spark, root, "chunks"), table(spark, root, "orchestrator_responses")
     scans = [("chunks", chunks, "ingest_pos", "text"), ("orchestrator_responses", answers, "response_id", "extracted_text")]
-    words = p3_scans.word_table(p3_scans.texts_of(scans))
-    odd = p5_quality.judged(chunks, table=words, bits=p3_scans.DF_BITS, kind_only=True).where("kind is not null")
+    counts = p3_scans.word_counts(p3_scans.texts_of(scans))
+    known = p3_scans.known_hashes(counts, "word", p5_quality.KNOWN_IN)
+    odd = p5_quality.judged(chunks, table=known, kind_only=True).where("kind is not null")
     odd = materialize(odd.select(F.lit("chunks").alias("src"), F.col("ingest_pos").cast("string").alias("item_id")), "odd")
-    return operator(scans, words).join(odd, ["src", "item_id"], "left_anti")
+    return operator(scans, counts).join(odd, ["src", "item_id"], "left_anti")
 
 
 @query

@@ -56,25 +56,6 @@ class TermHashes:
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
-class WordCounts:
-    """Looks words up in a counting table of hashed words; remembers at most ``limit`` of them."""
-
-    def __init__(self, table: np.ndarray, limit: int = 1_000_000):
-        self.table, self.mask, self.limit, self.known = table, len(table) - 1, limit, {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = int(self.table[(hash64(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFFFFFFFFFF) >> 32 & self.mask])
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
 class KnownHashes:
     """Tells which words' 64-bit hashes are in a sorted array; remembers at most ``limit`` words."""
 

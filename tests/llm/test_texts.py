@@ -67,6 +67,23 @@ def test_a_wrong_form_of_any_number_of_texts(spark):
     assert found == {str(i) for i in range(1000, 1070)}
 
 
+def test_a_full_slot_makes_no_title(spark):
+    # the hash of this line's key and that of a word of the prose agree in their 23 bits
+    prose = "The learned counsel argued that the tribunal should consider the matter under protest and decide it."
+    rows = [(i, f"{prose} {i}") for i in range(40)] + [(100, f"OZUUYOT XUEMZZM\n{prose}")]
+    found = p3_scans.find_noise([("t", spark.createDataFrame(rows, "id int, text string"), "id", "text")])
+    assert found.where("kind = 'header'").count() == 0
+
+
+def test_a_full_slot_makes_no_word_known(spark):
+    # the hashes of these words and those of words of the prose agree in their 22 bits
+    gibberish = "jgxhhdx fdvcjbv gbbzcjh gjghcvv gcdgkqf kvbcdgc gcccqzq bvgvzvf"
+    sentences = ("The learned counsel argued that the tribunal should consider the matter under protest and decide it.", "In this case it is held that the claim of the tenant was not in time.", "It is for the lessor to show that notice was served on him.", "No order is made as to the costs of the appeal before us.")
+    rows = [(i, f"{' '.join(sentences)} {i}", 1) for i in range(40)] + [(100, gibberish, 8)]
+    df = spark.createDataFrame(rows, "ingest_pos long, text string, word_count int")
+    assert [r.kind for r in p5_quality.found(df).where("ingest_pos = 100").collect()] == ["junk"]
+
+
 def test_statistics(spark):
     rng = random.Random(1)
     prose = [" ".join(rng.choice(["The tribunal held that the claim of the tenant was not in time.", "It is for the lessor to show that the notice was served on him.", "No order was made as to the costs of the appeal before us."]) for _ in range(8)) for _ in range(80)]
