@@ -41,5 +41,7 @@ SELECT a AS pos_a, b AS pos_b FROM o JOIN n x ON x.ingest_pos = a JOIN n y ON y.
 SELECT ingest_pos FROM r WHERE source IS NOT NULL AND rank > (SELECT 3 * count(*) // 100 FROM chunks)""",
     "p7_found": f"{COPIES} SELECT keep_pos, ingest_pos AS copy_pos FROM m WHERE ingest_pos > keep_pos",
     "p7_copies_count": f"{COPIES} SELECT keep_pos, count(*) AS n_copies FROM m GROUP BY 1 HAVING count(*) > 1",
+    "p7_records": f"{COPIES} SELECT coalesce(keep_pos, c.ingest_pos) AS keep_pos, count(*) AS n_copies FROM chunks c LEFT JOIN m USING (ingest_pos) GROUP BY 1",
+    "p7_members": f"{COPIES} SELECT coalesce(keep_pos, c.ingest_pos) AS keep_pos, c.ingest_pos, c.chunk_id FROM chunks c LEFT JOIN m USING (ingest_pos)",
     "p9_found": f"WITH d AS ({runs('documents', 'doc_id', 13)}), i AS ({runs('eval_items', 'item_id', 13)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
 }

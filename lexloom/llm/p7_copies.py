@@ -57,3 +57,23 @@ def copy_groups(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "te
     keyed = keyed.select("pos", F.when(F.size("tuple") == 1, F.col("tuple")[0].cast("string")).otherwise(F.md5(F.array_join(F.transform("tuple", lambda c: c.cast("string")), ","))).alias("key"))
     groups = keyed.groupBy("key").agg(F.min("pos").alias("keep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     return keyed.join(groups, "key").where("pos > keep").select("keep", F.col("pos").alias("copy"))
+
+
+def members(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", chunk_col: str = "chunk_id", min_chars: int = 20) -> DataFrame:
+    """(keep, pos, chunk_id): for every row the record it belongs to, its own if it is no further copy.
+
+    Null, empty and short texts are records of their own. A record's chunk_ids are rows, not an
+    array, so that a hot group needs no large value; a chunk_id delivered again stands once for each row.
+    """
+    rows = rows.select(F.col(id_col).alias("pos"), F.col(text_col).alias("text"), F.col(chunk_col).alias("chunk_id"))
+    found = copy_groups(rows, "pos", "text", min_chars).withColumnRenamed("copy", "pos")
+    return rows.select("pos", "chunk_id").join(found, "pos", "left").select(F.coalesce("keep", "pos").alias("keep"), "pos", "chunk_id")
+
+
+def records(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+    """(keep, n_copies): every record once with the number of its rows, 1 for one without copies."""
+    rows = rows.select(F.col(id_col).alias("pos"), F.col(text_col).alias("text"))
+    found = materialize(copy_groups(rows, "pos", "text", min_chars), "copies")
+    counts = found.groupBy("keep").agg((F.count("*") + 1).alias("n_copies"))
+    kept = rows.select(F.col("pos").alias("keep")).join(found.select(F.col("copy").alias("keep")), "keep", "left_anti")
+    return kept.join(counts, "keep", "left").select("keep", F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -97,6 +97,16 @@ def p7_copies_count(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy(F.col("keep").alias("keep_pos")).agg((F.count("*") + 1).alias("n_copies"))
 
 
+@query
+def p7_records(spark: SparkSession, root: str) -> DataFrame:
+    return p7_copies.records(table(spark, root, "chunks")).withColumnRenamed("keep", "keep_pos")
+
+
+@query
+def p7_members(spark: SparkSession, root: str) -> DataFrame:
+    return p7_copies.members(table(spark, root, "chunks")).select(F.col("keep").alias("keep_pos"), F.col("pos").alias("ingest_pos"), "chunk_id")
+
+
 @query
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return p8_tokenize.encode_corpus(table(spark, root, "documents"))

@@ -105,6 +105,13 @@ def test_copies(spark):
     assert p7_copies.copy_groups(df.limit(0)).count() == 0
 
 
+def test_records_with_copies_and_members(spark):
+    texts = ["The lessor shall repair the roof.", "the LESSOR shall  repair the roof", "An own text without any copy.", "short", "Short", "", None, "The lessor, shall re-pair the roof!"]
+    df = spark.createDataFrame([(i, t, f"c{i // 2}") for i, t in enumerate(texts)], "ingest_pos long, text string, chunk_id string")
+    assert {(r.keep, r.n_copies) for r in p7_copies.records(df).collect()} == {(0, 3), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)}
+    assert sorted((r.keep, r.pos, r.chunk_id) for r in p7_copies.members(df).collect()) == [(0, 0, "c0"), (0, 1, "c0"), (0, 7, "c3"), (2, 2, "c1"), (3, 3, "c1"), (4, 4, "c2"), (5, 5, "c2"), (6, 6, "c3")]
+
+
 def test_a_hot_group_of_copies(spark):
     df = spark.range(3000).select(F.col("id").alias("ingest_pos"), F.when(F.col("id") % 3 == 0, "The same text, again and again.").otherwise(F.concat(F.lit("An own text of number "), F.col("id"))).alias("text"))
     found = p7_copies.copy_groups(df)
