@@ -36,7 +36,7 @@ UNION SELECT 'iltur_judgments', doc_id FROM iltur_judgments WHERE len(regexp_ext
     "p4_found": f"""WITH t AS (SELECT ingest_pos, text FROM chunks WHERE len(regexp_extract_all(lower(text), '{TERM}')) >= 40), s AS ({runs('t', 'ingest_pos', 3)}),
 n AS (SELECT ingest_pos, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.ingest_pos AS a, b.ingest_pos AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.ingest_pos < b.ingest_pos GROUP BY 1, 2)
-SELECT a AS pos_a, b AS pos_b FROM o JOIN n x ON x.ingest_pos = a JOIN n y ON y.ingest_pos = b WHERE 10 * o >= 7 * greatest(x.n, y.n)""",
+SELECT a AS pos_a, b AS pos_b FROM o JOIN n x ON x.ingest_pos = a JOIN n y ON y.ingest_pos = b WHERE 17 * o >= 7 * (x.n + y.n)""",
     "p6_found": """WITH r AS (SELECT c.ingest_pos, source, row_number() OVER (PARTITION BY source, doc_type ORDER BY quality DESC NULLS LAST, c.ingest_pos) AS rank FROM chunks c LEFT JOIN chunk_scores s USING (ingest_pos))
 SELECT ingest_pos FROM r WHERE source IS NOT NULL AND rank > (SELECT 3 * count(*) // 100 FROM chunks)""",
     "p7_found": f"{COPIES} SELECT keep_pos, ingest_pos AS copy_pos FROM m WHERE ingest_pos > keep_pos",

@@ -1,15 +1,17 @@
 """Near-duplicates with small edits: signature trees over prefix-filtered token lists.
 
-Exact copies are collapsed first. Each remaining text becomes a set of 3-term shingles and a
-bitmap of them. Two texts that share 0.7 of their shingles share one of the rarest 0.3 n + 1
-shingles of each (any common order of rarity will do), so texts are routed by those. Among the
-texts that meet, trees of nodes with OR- and AND-combined bitmaps and size ranges are traversed in
-pairs, and a pair of nodes is left as soon as its greatest possible overlap is too small. What is
-left is verified on the full sets.
+Texts of the same terms are collapsed first. Each remaining text becomes a set of 3-term shingles
+and a bitmap of them. The similarity of two texts is the number of shingles in both over the number
+in either; to reach 0.7 they must share one of the rarest 0.3 n + 1 shingles of each (any common
+order of rarity will do), so texts are routed by those. Among the texts that meet, trees of nodes
+with OR- and AND-combined bitmaps and size ranges are traversed in pairs, and a pair of nodes is
+left as soon as its greatest possible overlap is too small. What is left is verified on the full
+sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,78 +20,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import count_table
-from .terms import TermHashes, shingle_hashes, terms
+from .tables import UPPER, bits_for, count_codes, presence
+from .terms import TermHashes, distinct, shingle_hashes, terms
 
-WORDS = 12  # 64-bit words in a bitmap
-DF_BITS = 23
-#: A shingle in more texts than this is split into pairs of blocks of this many texts.
+WORDS = 8  # 64-bit words in a bitmap
+#: A shingle in more texts than this is split into pairs of blocks of at most this many texts.
 HOT = 4096
-#: Texts whose bitmaps a routing task holds.
-TEXTS_PER_TASK = 250_000
+#: Texts for each routing task.
+TEXTS_PER_TASK = 25_000
 LEAF, FAN = 32, 8
 #: Lists up to this length are compared directly.
 SHORT = 32
+#: What rounding may take from a bound; candidates are verified exactly.
+SLACK = 0.5
+#: Members of a class of copies in one block when its pairs are written out.
+MEMBERS = 1024
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), WORDS), np.uint64)
+    out = np.zeros((len(sets), 64 * WORDS), np.uint8)
     for i, s in enumerate(sets):
-        bits = (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * WORDS)
-        flags = np.zeros(64 * WORDS, np.uint8)
-        flags[bits.astype(np.int64)] = 1
-        out[i] = np.packbits(flags, bitorder="little").view(np.uint64)
-    return out
+        out[i, (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * WORDS)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
 def prefix_length(n: int, threshold: float) -> int:
     return n - int(np.ceil(threshold * n - 1e-9)) + 1
 
 
+def share(threshold: float) -> float:
+    """Two sets reach the threshold if their overlap is at least this share of the sum of their sizes."""
+    return threshold / (1 + threshold)
+
+
 class Tree:
-    """Texts by size in leaves of LEAF, FAN nodes to a parent; the last level is the root."""
+    """Texts by size in leaves of LEAF, FAN nodes to a parent; the last level is the root.
+
+    ``caps`` bounds the overlap of each text with any other text of the tree.
+    """
 
-    def __init__(self, sigs: np.ndarray, sizes: np.ndarray):
+    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, caps: np.ndarray):
         self.order = np.argsort(sizes, kind="stable")
-        self.sigs, self.sizes = sigs[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        level = (np.bitwise_or.reduceat(self.sigs, cuts), np.bitwise_and.reduceat(self.sigs, cuts), np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts))
-        self.levels = [level]
-        while len(self.levels[-1][0]) > 1:
-            o, a, lo, hi = self.levels[-1]
-            cuts = np.arange(0, len(o), FAN)
-            self.levels.append((np.bitwise_or.reduceat(o, cuts), np.bitwise_and.reduceat(a, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
+        self.sigs, self.sizes, self.caps = sigs[self.order], sizes[self.order], caps[self.order]
+        level, cuts = (self.sigs, self.sigs, self.sizes, self.sizes, self.caps), np.arange(0, len(sizes), LEAF)
+        self.levels = []
+        while not self.levels or len(self.levels[-1][0]) > 1:
+            level = tuple(f.reduceat(x, cuts) for f, x in zip((np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.maximum), level))
+            self.levels.append(level)
+            cuts = np.arange(0, len(level[0]), FAN)
 
     def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Positions (before sorting) of all pairs of texts that may reach the threshold."""
         left = right = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            o, a, lo, hi = self.levels[depth]
+            o, a, lo, hi, cap = self.levels[depth]
             if depth < len(self.levels) - 1:
                 left, right = self._children(left, right, len(o), FAN)
             miss = np.bitwise_count(a[left] & ~o[right]).sum(1).astype(np.int64)
             back = np.bitwise_count(a[right] & ~o[left]).sum(1).astype(np.int64)
-            most = np.minimum(hi[left] - miss, hi[right] - back)
-            keep = most >= threshold * np.maximum(lo[left], lo[right]) - 1e-9
+            most = np.minimum(np.minimum(hi[left] - miss, cap[left]), np.minimum(hi[right] - back, cap[right]))
+            keep = most >= share(threshold) * (lo[left] + lo[right]) - SLACK
             left, right = left[keep], right[keep]
-        # leaves against leaves: common bits of the folded bitmaps as a product, then the whole bitmaps
-        half = WORDS // 2
-        bits = np.unpackbits((self.sigs[:, :half] | self.sigs[:, half:]).view(np.uint8), axis=1).astype(np.float32)
+        # leaves against the leaves that are left for them: common bits of the bitmaps as a product
+        bits = np.unpackbits(self.sigs.view(np.uint8), axis=1).astype(np.float32)
         spare = (self.sizes - bits.sum(1)).astype(np.float32)  # shingles that share a bit with another
-        least = (threshold * self.sizes - 1e-3).astype(np.float32)
+        need, caps = (share(threshold) * self.sizes).astype(np.float32), self.caps.astype(np.float32)
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        starts = np.flatnonzero(np.diff(left, prepend=-1))
         out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for leaf in np.unique(left):
-            rows = slice(leaf * LEAF, min((leaf + 1) * LEAF, len(self.sizes)))
-            end = int(np.searchsorted(least, self.sizes[rows][-1], side="right"))  # larger texts are too large
-            cols = slice(leaf * LEAF, end)
-            both = bits[rows] @ bits[cols].T
-            both += np.minimum(spare[rows][:, None], spare[cols])
-            i, j = np.nonzero(both >= least[cols])  # sorted by size: the column is the larger text
-            out_i.append(i[i < j] + rows.start)
-            out_j.append(j[i < j] + rows.start)
+        for at, end in zip(starts, [*starts[1:], len(left)]):
+            rows = slice(left[at] * LEAF, min((left[at] + 1) * LEAF, len(self.sizes)))
+            cols = (right[at:end, None] * LEAF + np.arange(LEAF)).ravel()
+            cols = cols[cols < len(self.sizes)]
+            both = np.minimum(bits[rows] @ bits[cols].T + np.minimum(spare[rows][:, None], spare[cols]), np.minimum(caps[rows][:, None], caps[cols]))
+            i, j = np.nonzero(both - need[cols] >= need[rows][:, None] - SLACK)
+            i, j = i + rows.start, cols[j]
+            out_i.append(i[i < j])
+            out_j.append(j[i < j])
         i, j = np.concatenate(out_i), np.concatenate(out_j)
-        keep = may_reach(self.sigs, self.sizes, i, j, threshold)
-        return self.order[i[keep]], self.order[j[keep]]
+        return self.order[i], self.order[j]
 
     @staticmethod
     def _children(left: np.ndarray, right: np.ndarray, n: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,128 +117,140 @@ def may_reach(sigs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray,
     """
     a, b = sigs[i], sigs[j]
     both = np.minimum(sizes[i] - np.bitwise_count(a & ~b).sum(1).astype(np.int64), sizes[j] - np.bitwise_count(b & ~a).sum(1).astype(np.int64))
-    return both >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+    return both >= share(threshold) * (sizes[i] + sizes[j]) - SLACK
+
 
+def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """Codes i << 32 | j of the pairs of texts that share a token and may reach the threshold.
 
-def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.ndarray, threshold: float) -> np.ndarray:
-    """Codes i << 32 | j of the pairs of texts that share a token and may reach the threshold."""
+    ``place`` is how many rarer shingles a text has: of two texts, the first token that they share
+    leaves at most the rest of either for their overlap.
+    """
     order = np.lexsort((doc, token))
     doc, token = doc[order], token[order]
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    caps = sizes[doc] - place[order]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
     lengths = np.diff(np.append(starts, len(token)))
     found = []
     few = (lengths > 1) & (lengths <= SHORT)
     for n in np.unique(lengths[few]):  # short lists of equal length at once
-        rows = doc[starts[few & (lengths == n)][:, None] + np.arange(n)]
+        rows = starts[few & (lengths == n)][:, None] + np.arange(n)
         a, b = np.triu_indices(n, 1)
-        for at in range(0, len(rows), max(1, 200_000 // len(a))):
-            part = rows[at : at + max(1, 200_000 // len(a))]
-            i, j = part[:, a].ravel(), part[:, b].ravel()
-            near = (i != j) & (np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9)
-            i, j = i[near], j[near]
-            keep = may_reach(sigs, sizes, i, j, threshold)
-            found.append(np.minimum(i, j)[keep] << 32 | np.maximum(i, j)[keep])
+        step = max(1, 200_000 // len(a))
+        for at in range(0, len(rows), step):
+            x, y = rows[at : at + step, a].ravel(), rows[at : at + step, b].ravel()
+            i, j = doc[x], doc[y]
+            near = (i != j) & (np.minimum(caps[x], caps[y]) >= share(threshold) * (sizes[i] + sizes[j]) - SLACK)
+            found.append(np.minimum(i, j)[near] << 32 | np.maximum(i, j)[near])
     for k in np.flatnonzero(lengths > SHORT):
-        own = np.unique(doc[starts[k] : starts[k] + lengths[k]])
-        i, j = Tree(sigs[own], sizes[own]).pairs(threshold)
+        own, first = np.unique(doc[starts[k] : starts[k] + lengths[k]], return_index=True)
+        i, j = Tree(sigs[own], sizes[own], caps[starts[k] + first]).pairs(threshold)
         i, j = own[i], own[j]
         found.append(np.minimum(i, j) << 32 | np.maximum(i, j))
         if len(found) > 500:
-            found = [np.unique(np.concatenate(found))]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            found = [distinct(np.concatenate(found))]
+    found = distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return found[may_reach(sigs, sizes, found >> 32, found & 0xFFFFFFFF, threshold)]
 
 
-def exact_copies(rows: DataFrame) -> DataFrame:
-    """(pos, rep, n_terms) of the rows of (pos, text) whose terms are those of a row with a smaller pos."""
-    joined = F.btrim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " "))
-    n_terms = F.when(F.col("joined") == "", 0).otherwise(F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit(""))) + 1)
-    keyed = rows.select("pos", joined.alias("joined")).select("pos", F.md5("joined").alias("key"), n_terms.alias("n_terms"))
-    keyed = materialize(keyed, "keys")
-    groups = keyed.groupBy("key").agg(F.min("pos").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(groups, "key").where("pos > rep").select("pos", "rep", "n_terms")
-
+def shingle_sets(rows: DataFrame, shingle: int, min_terms: int) -> DataFrame:
+    """(pos, key, n_terms, n, shingles) of the rows of (pos, text): the digest of a text's terms, and its n distinct shingles if it has enough terms."""
 
-def near_pairs(texts: DataFrame, shingle: int = 3, min_terms: int = 40, threshold: float = 0.7, df_bits: int = DF_BITS) -> DataFrame:
-    """(a, b), a < b: rows of (pos, text), no two of the same terms, whose shingle sets overlap enough."""
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHashes()
         for batch in batches:
-            pos, sets = [], []
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, counts, sizes, sets = [], [], [], []
+            for text in batch.column(1).to_pylist():
                 words = terms(text)
-                if len(words) >= min_terms:
-                    pos.append(p)
-                    sets.append(np.unique((shingle_hashes(hashes(words), shingle) >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(sets, pa.binary())], names=["pos", "shingles"])
+                own = distinct((shingle_hashes(hashes(words), shingle) >> np.uint64(32)).astype(np.uint32)) if len(words) >= min_terms else None
+                keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                counts.append(len(words))
+                sizes.append(0 if own is None else len(own))
+                sets.append(None if own is None else own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["pos", "key", "n_terms", "n", "shingles"])
+
+    return rows.select("pos", "text").mapInArrow(run, "pos long, key binary, n_terms int, n int, shingles binary")
 
-    sets = materialize(texts.select("pos", "text").where("text is not null").mapInArrow(shingles, "pos long, shingles binary"), "shingles", "none")
-    spark = texts.sparkSession
-    df = spark.sparkContext.broadcast(count_table(sets.select("shingles"), df_bits))
-    tasks = max(8, -(-sets.count() // TEXTS_PER_TASK))
+
+def exact_copies(sets: DataFrame) -> DataFrame:
+    """(pos, rep, n_terms) of the rows whose terms are those of a row with a smaller pos."""
+    keyed = sets.select("pos", "key", "n_terms")
+    groups = keyed.groupBy("key").agg(F.min("pos").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(groups, "key").where("pos > rep").select("pos", "rep", "n_terms")
+
+
+def near_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b), a < b: rows of (pos, n, shingles), no two of the same terms, whose shingle sets are similar enough."""
+    spark = sets.sparkSession
+    total = sets.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    bits = bits_for(total.shingles / 2)
+    df = spark.sparkContext.broadcast(count_codes(sets.select("shingles"), bits))
+    tasks = max(8, -(-total.texts // TEXTS_PER_TASK))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = df.value, np.uint32((1 << df_bits) - 1)
+        table, mask = df.value, np.uint32((1 << bits) - 1)
         for batch in batches:
             pos = batch.column(0).to_numpy()
             own = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
             if not own:
                 continue
             sizes = np.array([len(s) for s in own], np.int32)
-            doc, token = [], []
+            doc, token, place = [], [], []
             for i, s in enumerate(own):
                 f = table[s & mask]
                 first = np.lexsort((s, f))[: prefix_length(len(s), threshold)]
-                first = first[f[first] > 1]  # a shingle of one text meets none
-                hot = f[first] > HOT
-                if hot.any():
-                    for t, n in zip(s[first[hot]].tolist(), f[first[hot]].tolist()):
-                        blocks = -(-n // HOT)
-                        mine = int(pos[i]) * 0x9E3779B1 % (1 << 32) % blocks
-                        pair = [min(mine, b) * blocks + max(mine, b) for b in range(blocks)]
-                        token.append(((np.uint64(t) << np.uint64(16)) + np.array(pair, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32))
-                        doc.append(np.full(blocks, i, np.int32))
-                token.append(s[first[~hot]].astype(np.uint64))
-                doc.append(np.full(len(token[-1]), i, np.int32))
-            doc_, token_ = np.concatenate(doc), np.concatenate(token).astype(np.uint32)
-            task = (token_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(tasks)
-            sigs = bitmaps(own)
-            out = []
-            for w in np.unique(task):
-                mine = task == w
-                docs, local = np.unique(doc_[mine], return_inverse=True)
-                out.append((int(w), pos[docs].astype(np.int64).tobytes(), sizes[docs].tobytes(), sigs[docs].tobytes(), local.astype(np.int32).tobytes(), token_[mine].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 6))], names=["task", "pos", "sizes", "sigs", "doc", "token"])
+                at = np.searchsorted(f[first], 2)  # a shingle of one text meets none
+                n, t = UPPER[f[first[at:]]], s[first[at:]].astype(np.uint64)
+                where = np.arange(at, len(first))
+                hot = np.searchsorted(n, HOT, side="right")  # rarest first
+                for k in range(hot, len(t)):
+                    blocks = int(-(-n[k] // (HOT // 2)))
+                    mine = int(pos[i]) * 0x9E3779B1 % (1 << 32) % blocks
+                    pair = [min(mine, b) * blocks + max(mine, b) for b in range(blocks)]
+                    token.append(((t[k] << np.uint64(32)) + np.array(pair, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32))
+                    doc.append(np.full(blocks, i, np.int32))
+                    place.append(np.full(blocks, where[k], np.int32))
+                token.append(t[:hot])
+                doc.append(np.full(hot, i, np.int32))
+                place.append(where[:hot].astype(np.int32))
+            doc, token, place = np.concatenate(doc), np.concatenate(token).astype(np.uint32), np.concatenate(place)
+            task = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(tasks)
+            order = np.lexsort((doc, task))
+            doc, token, place, task = doc[order], token[order], place[order], task[order]
+            sigs, out = bitmaps(own), []
+            for lo, hi in zip(cuts := np.flatnonzero(np.diff(task.astype(np.int64), prepend=-1)), [*cuts[1:], len(task)]):
+                docs, local = np.unique(doc[lo:hi], return_inverse=True)
+                out.append((int(task[lo]), pos[docs].astype(np.int64).tobytes(), sizes[docs].tobytes(), sigs[docs].tobytes(), local.astype(np.int32).tobytes(), token[lo:hi].tobytes(), place[lo:hi].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 7))], names=["task", "pos", "sizes", "sigs", "doc", "token", "place"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 parts.setdefault(row["task"], []).append(row)
-        for rows in parts.values():
-            pos = np.concatenate([np.frombuffer(r["pos"], np.int64) for r in rows])
-            sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
-            sigs = np.concatenate([np.frombuffer(r["sigs"], np.uint64).reshape(-1, WORDS) for r in rows])
-            shift = np.cumsum([0, *(len(r["pos"]) // 8 for r in rows)])
-            doc = np.concatenate([np.frombuffer(r["doc"], np.int32).astype(np.int64) + s for r, s in zip(rows, shift)])
-            token = np.concatenate([np.frombuffer(r["token"], np.uint32) for r in rows])
-            codes = candidates(sizes, sigs, doc, token, threshold)
-            a, b = pos[codes >> 32], pos[codes & 0xFFFFFFFF]
+        for task in list(parts):
+            rows = parts.pop(task)
+            whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+            shift = np.repeat(np.cumsum([0, *(len(r["pos"]) // 8 for r in rows[:-1])]), [len(r["doc"]) // 4 for r in rows])
+            pos, sizes, sigs = whole("pos", np.int64), whole("sizes", np.int32).astype(np.int64), whole("sigs", np.uint64).reshape(-1, WORDS)
+            found = candidates(sizes, sigs, whole("doc", np.int32) + shift, whole("token", np.uint32), whole("place", np.int32), threshold)
+            a, b = pos[found >> 32], pos[found & 0xFFFFFFFF]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    pack = "task int, pos binary, sizes binary, sigs binary, doc binary, token binary"
-    found = sets.mapInArrow(route, pack).repartitionById(tasks, F.col("task")).mapInArrow(meet, "a long, b long")
+    pack = "task int, pos binary, sizes binary, sigs binary, doc binary, token binary, place binary"
+    found = sets.select("pos", "shingles").mapInArrow(route, pack).repartitionById(tasks, F.col("task")).mapInArrow(meet, "a long, b long")
     found = materialize(found.distinct(), "candidates")
 
-    # only the sets of texts in some candidate pair are joined; the filter has a fixed size
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << df_bits) - 1)).cast("int")
+    # only the sets of texts in some candidate pair are joined; a filter of bounded size leaves out nearly all others
+    slot_bits = bits_for(16 * found.count())
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << slot_bits) - 1)).cast("int")
 
     def pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.uint32).tobytes()], pa.binary())], names=["slots"])
 
     slots = found.select(F.explode(F.array(slot(F.col("a")), slot(F.col("b")))).alias("slot"))
-    present = spark.sparkContext.broadcast(np.packbits(count_table(slots.mapInArrow(pack_slots, "slots binary"), df_bits) > 0))
+    present = spark.sparkContext.broadcast(presence(slots.mapInArrow(pack_slots, "slots binary"), slot_bits))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = present.value
@@ -244,8 +266,9 @@ def near_pairs(texts: DataFrame, shingle: int = 3, min_terms: int = 40, threshol
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                good.append(len(np.intersect1d(u, v, assume_unique=True)) >= threshold * max(len(u), len(v)) - 1e-9)
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)]))
+                o = np.count_nonzero(both[1:] == both[:-1])
+                good.append(o >= threshold * (len(both) - o) - 1e-9 * len(both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -256,25 +279,37 @@ def near_duplicates(rows: DataFrame, id_col: str = "ingest_pos", text_col: str =
     """Two tables: pairs (a, b) of representatives, and (pos, rep, n_terms) of the further members of each class.
 
     Rows with the same terms form a class; its smallest id is the representative. Null texts are in
-    no class; texts of fewer than ``min_terms`` terms are in no pair. The overlap is the number of
-    distinct shingles in both, over that of the larger set. Shingles are 32-bit hashes: the chance
+    no class; texts of fewer than ``min_terms`` terms are in no pair. The similarity is the number
+    of distinct shingles in both over the number in either. Shingles are 32-bit hashes: the chance
     of a miscount in a pair is below 1e-5. Ids must be unique; other columns are not read.
     """
     rows = rows.select(F.col(id_col).cast("long").alias("pos"), F.col(text_col).alias("text")).where("text is not null")
-    copies = materialize(exact_copies(rows), "copies")
-    pairs = near_pairs(rows.join(copies.select("pos"), "pos", "left_anti"), shingle, min_terms, threshold)
-    return pairs, copies
+    sets = materialize(shingle_sets(rows, shingle, min_terms), "shingles", "none")
+    copies = materialize(exact_copies(sets), "copies")
+    own = sets.where("shingles is not null").select("pos", "n", "shingles").join(copies.select("pos"), "pos", "left_anti")
+    return near_pairs(own, threshold), copies
+
+
+def _with_members(pairs: DataFrame, side: str, copies: DataFrame) -> DataFrame:
+    """The pairs, and again for each further member of the class on one side."""
+    more = pairs.join(copies.select(F.col("rep").alias(side), "pos"), side)
+    return pairs.unionByName(more.drop(side).withColumnRenamed("pos", side))
 
 
 def all_pairs(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", shingle: int = 3, min_terms: int = 40, threshold: float = 0.7) -> DataFrame:
-    """(a, b), a < b: :func:`near_duplicates` with the copies of each class written out."""
+    """(a, b), a < b: :func:`near_duplicates` with the copies of each class written out.
+
+    The pairs within a class are joined block by block, so that no task holds a whole class.
+    """
     pairs, copies = near_duplicates(rows, id_col, text_col, shingle, min_terms, threshold)
-    pairs = materialize(pairs, "pairs")
     same = copies.where(F.col("n_terms") >= min_terms).select("pos", "rep")  # a copy has as many terms as its representative
-    first = pairs.join(same.select(F.col("rep").alias("a"), F.col("pos").alias("x")), "a", "left").select(F.explode(F.array("a", "x")).alias("x"), "b").where("x is not null").distinct()
-    both = first.join(same.select(F.col("rep").alias("b"), F.col("pos").alias("y")), "b", "left").select("x", F.explode(F.array("b", "y")).alias("y")).where("y is not null").distinct()
-    inner = same.select(F.col("rep").alias("x"), F.col("pos").alias("y")).unionByName(same.alias("s").join(same.alias("t"), "rep").where("s.pos < t.pos").select(F.col("s.pos").alias("x"), F.col("t.pos").alias("y")))
-    return both.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    both = _with_members(_with_members(materialize(pairs, "pairs"), "a", same), "b", same)
+    blocks = same.groupBy("rep").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    dealt = same.join(blocks, "rep")
+    left = dealt.select("rep", F.col("pos").alias("a"), F.pmod(F.xxhash64("pos"), "blocks").alias("block"))
+    right = dealt.select("rep", F.col("pos").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    inner = left.join(right, ["rep", "block"]).where("a < b").select("a", "b").unionByName(same.select(F.col("rep").alias("a"), F.col("pos").alias("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inner)
 
 
 def links(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", shingle: int = 3, min_terms: int = 40, threshold: float = 0.7) -> DataFrame:

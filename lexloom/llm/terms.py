@@ -85,6 +85,17 @@ class KnownHashes:
             return np.fromiter(map(known.__getitem__, words), bool, len(words))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. Sorts, as hashing integers is many times slower for some."""
+    if len(values) < 2:
+        return values
+    values = np.sort(values)
+    keep = np.empty(len(values), bool)
+    keep[0] = True
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 

@@ -65,7 +65,7 @@ def _near(texts):
         return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 40 else None
 
     s = [sets(t) for t in texts]
-    return {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i] and s[j] and 10 * len(s[i] & s[j]) >= 7 * max(len(s[i]), len(s[j]))}
+    return {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i] and s[j] and 10 * len(s[i] & s[j]) >= 7 * len(s[i] | s[j])}
 
 
 @pytest.mark.parametrize("hot", [4096, 4])
@@ -89,9 +89,9 @@ def test_tree_keeps_every_pair():
         keep = base[rng.rand(150) < rng.choice((0.95, 0.8, 0.4))]
         sets.append(np.unique(np.concatenate([keep, rng.randint(0, 2**31, rng.randint(0, 40)).astype(np.uint32)])))
     sizes = np.array([len(s) for s in sets])
-    i, j = p4_near.Tree(p4_near.bitmaps(sets), sizes).pairs(0.7)
+    i, j = p4_near.Tree(p4_near.bitmaps(sets), sizes, sizes).pairs(0.7)
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
-    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if len(np.intersect1d(sets[a], sets[b])) >= 0.7 * max(sizes[a], sizes[b])}
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if len(np.intersect1d(sets[a], sets[b])) >= 0.7 * len(np.union1d(sets[a], sets[b]))}
     assert want and want <= got
 
 
