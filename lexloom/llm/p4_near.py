@@ -28,9 +28,13 @@ WORDS = 8  # 64-bit words in a bitmap
 HOT = 4096
 #: Texts for each routing task.
 TEXTS_PER_TASK = 25_000
-LEAF, FAN = 32, 8
+LEAF, FAN = 16, 8
+#: Pairs of texts that are tested at a time.
+PAIRS = 200_000
 #: Lists up to this length are compared directly.
-SHORT = 32
+SHORT = 64
+#: Lists up to this length make so few pairs that they are only tested once, all together.
+FEW = 16
 #: What rounding may take from a bound; candidates are verified exactly.
 SLACK = 0.5
 #: Members of a class of copies in one block when its pairs are written out.
@@ -81,23 +85,14 @@ class Tree:
             most = np.minimum(np.minimum(hi[left] - miss, cap[left]), np.minimum(hi[right] - back, cap[right]))
             keep = most >= share(threshold) * (lo[left] + lo[right]) - SLACK
             left, right = left[keep], right[keep]
-        # leaves against the leaves that are left for them: common bits of the bitmaps as a product
-        bits = np.unpackbits(self.sigs.view(np.uint8), axis=1).astype(np.float32)
-        spare = (self.sizes - bits.sum(1)).astype(np.float32)  # shingles that share a bit with another
-        need, caps = (share(threshold) * self.sizes).astype(np.float32), self.caps.astype(np.float32)
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        starts = np.flatnonzero(np.diff(left, prepend=-1))
         out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at, end in zip(starts, [*starts[1:], len(left)]):
-            rows = slice(left[at] * LEAF, min((left[at] + 1) * LEAF, len(self.sizes)))
-            cols = (right[at:end, None] * LEAF + np.arange(LEAF)).ravel()
-            cols = cols[cols < len(self.sizes)]
-            both = np.minimum(bits[rows] @ bits[cols].T + np.minimum(spare[rows][:, None], spare[cols]), np.minimum(caps[rows][:, None], caps[cols]))
-            i, j = np.nonzero(both - need[cols] >= need[rows][:, None] - SLACK)
-            i, j = i + rows.start, cols[j]
-            out_i.append(i[i < j])
-            out_j.append(j[i < j])
+        for at in range(0, len(left), PAIRS // LEAF**2):
+            i, j = self._children(left[at : at + PAIRS // LEAF**2], right[at : at + PAIRS // LEAF**2], len(self.sizes), LEAF)
+            near = (i < j) & (np.minimum(self.caps[i], self.caps[j]) >= share(threshold) * (self.sizes[i] + self.sizes[j]) - SLACK)
+            i, j = i[near], j[near]
+            near = may_reach(self.sigs, self.sizes, i, j, threshold)
+            out_i.append(i[near])
+            out_j.append(j[near])
         i, j = np.concatenate(out_i), np.concatenate(out_j)
         return self.order[i], self.order[j]
 
@@ -136,12 +131,15 @@ def candidates(sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, token: np.n
     for n in np.unique(lengths[few]):  # short lists of equal length at once
         rows = starts[few & (lengths == n)][:, None] + np.arange(n)
         a, b = np.triu_indices(n, 1)
-        step = max(1, 200_000 // len(a))
+        step = max(1, PAIRS // len(a))
         for at in range(0, len(rows), step):
             x, y = rows[at : at + step, a].ravel(), rows[at : at + step, b].ravel()
             i, j = doc[x], doc[y]
             near = (i != j) & (np.minimum(caps[x], caps[y]) >= share(threshold) * (sizes[i] + sizes[j]) - SLACK)
             found.append(np.minimum(i, j)[near] << 32 | np.maximum(i, j)[near])
+            if n > FEW:
+                i, j = i[near], j[near]
+                found[-1] = found[-1][may_reach(sigs, sizes, i, j, threshold)]
     for k in np.flatnonzero(lengths > SHORT):
         own, first = np.unique(doc[starts[k] : starts[k] + lengths[k]], return_index=True)
         i, j = Tree(sigs[own], sizes[own], caps[starts[k] + first]).pairs(threshold)
@@ -209,19 +207,22 @@ def near_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
                     pair = [min(mine, b) * blocks + max(mine, b) for b in range(blocks)]
                     token.append(((t[k] << np.uint64(32)) + np.array(pair, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32))
                     doc.append(np.full(blocks, i, np.int32))
-                    place.append(np.full(blocks, where[k], np.int32))
+                    place.append(np.full(blocks, where[k], np.int64))
                 token.append(t[:hot])
                 doc.append(np.full(hot, i, np.int32))
-                place.append(where[:hot].astype(np.int32))
+                place.append(where[:hot])
             doc, token, place = np.concatenate(doc), np.concatenate(token).astype(np.uint32), np.concatenate(place)
             task = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(tasks)
             order = np.lexsort((doc, task))
             doc, token, place, task = doc[order], token[order], place[order], task[order]
             sigs, out = bitmaps(own), []
+            # places in 255ths of the size, rounded down: a cap may only become too large
+            place = (place * 255 // np.maximum(1, sizes[doc])).astype(np.uint8)
             for lo, hi in zip(cuts := np.flatnonzero(np.diff(task.astype(np.int64), prepend=-1)), [*cuts[1:], len(task)]):
-                docs, local = np.unique(doc[lo:hi], return_inverse=True)
-                out.append((int(task[lo]), pos[docs].astype(np.int64).tobytes(), sizes[docs].tobytes(), sigs[docs].tobytes(), local.astype(np.int32).tobytes(), token[lo:hi].tobytes(), place[lo:hi].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 7))], names=["task", "pos", "sizes", "sigs", "doc", "token", "place"])
+                first = np.flatnonzero(np.diff(doc[lo:hi], prepend=-1))
+                docs, n = doc[lo:hi][first], np.diff(first, append=hi - lo).astype(np.int32)
+                out.append((int(task[lo]), pos[docs].astype(np.int64).tobytes(), sizes[docs].tobytes(), sigs[docs].tobytes(), n.tobytes(), token[lo:hi].tobytes(), place[lo:hi].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 7))], names=["task", "pos", "sizes", "sigs", "n", "token", "place"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -231,13 +232,13 @@ def near_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
         for task in list(parts):
             rows = parts.pop(task)
             whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-            shift = np.repeat(np.cumsum([0, *(len(r["pos"]) // 8 for r in rows[:-1])]), [len(r["doc"]) // 4 for r in rows])
             pos, sizes, sigs = whole("pos", np.int64), whole("sizes", np.int32).astype(np.int64), whole("sigs", np.uint64).reshape(-1, WORDS)
-            found = candidates(sizes, sigs, whole("doc", np.int32) + shift, whole("token", np.uint32), whole("place", np.int32), threshold)
+            doc = np.repeat(np.arange(len(pos)), whole("n", np.int32))
+            found = candidates(sizes, sigs, doc, whole("token", np.uint32), whole("place", np.uint8) * sizes[doc] // 255, threshold)
             a, b = pos[found >> 32], pos[found & 0xFFFFFFFF]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    pack = "task int, pos binary, sizes binary, sigs binary, doc binary, token binary, place binary"
+    pack = "task int, pos binary, sizes binary, sigs binary, n binary, token binary, place binary"
     found = sets.select("pos", "shingles").mapInArrow(route, pack).repartitionById(tasks, F.col("task")).mapInArrow(meet, "a long, b long")
     found = materialize(found.distinct(), "candidates")
 
@@ -259,7 +260,7 @@ def near_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
             keep = pa.array((bits[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["pos", "shingles"])
 
-    some = materialize(sets.select("pos", "shingles", slot(F.col("pos")).alias("slot")).mapInArrow(needed, "pos long, shingles binary"), "needed", "none")
+    some = sets.select("pos", "shingles", slot(F.col("pos")).alias("slot")).mapInArrow(needed, "pos long, shingles binary")
     both = found.join(some.select(F.col("pos").alias("a"), F.col("shingles").alias("of_a")), "a").join(some.select(F.col("pos").alias("b"), F.col("shingles").alias("of_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
