@@ -58,7 +58,7 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{WS}+"), "")
 
 
 def word_count(text: Column) -> Column:

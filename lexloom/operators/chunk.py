@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, paragraphs, section_header, sentences, word_count, words
+from ..functions.text import WS, chunk_id, paragraphs, section_header, sentences, words
 
 _PIECES = "array<struct<s:int,e:int,label:string>>"
 
 
 def _units(text: Column, size: int) -> Column:
-    """(words, label) of each paragraph, or of each sentence of a paragraph of more than ``size`` words."""
-    unit = lambda n, label: F.struct(n.cast("int").alias("n"), label.alias("label"))
+    """(n words, label) of each paragraph, or of each sentence of a paragraph of more than ``size`` words.
+
+    Paragraphs and their sentences are stripped and not empty, so their words are the parts between
+    white space; the label is found once for a paragraph.
+    """
+    count = lambda x: F.size(F.split(x, f"{WS}+"))
+    unit = lambda n, label: F.struct(n.alias("n"), label.alias("label"))
+    told = F.transform(paragraphs(text), lambda p: F.struct(p.alias("text"), count(p).alias("n"), section_header(p).alias("label")))
 
     def of(p: Column) -> Column:
-        whole = F.array(unit(word_count(p), section_header(p)))
-        return F.when(word_count(p) <= size, whole).otherwise(F.transform(sentences(p), lambda s: unit(word_count(s), section_header(p))))
+        parts = F.transform(sentences(p["text"]), lambda s: unit(count(s), p["label"]))
+        return F.when(p["n"] <= size, F.array(unit(p["n"], p["label"]))).otherwise(parts)
 
-    return F.flatten(F.transform(paragraphs(text), of))
+    return F.flatten(F.transform(told, of))
 
 
 def chunk_documents(docs: DataFrame, text_col: str, source_col: str, doc_type_col: str, keep: list[str] | None = None, size: int = 375, overlap: int = 38, min_chars: int = 50) -> DataFrame:
@@ -28,6 +34,8 @@ def chunk_documents(docs: DataFrame, text_col: str, source_col: str, doc_type_co
     ``overlap`` words of the one before. The label is the latest one when the chunk is closed, so a
     chunk closed by a new heading carries the new label. Chunks of fewer than ``min_chars``
     characters are dropped but still lend their words. Null and empty texts give no chunk.
+    Cutting costs far more than moving a text, so documents that come in few partitions should be
+    dealt to more before they are cleaned and cut.
     """
     if overlap <= 0:
         raise ValueError("overlap must be positive")
