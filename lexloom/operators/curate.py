@@ -40,9 +40,9 @@ def summary(chunks: DataFrame, by: str) -> DataFrame:
     return chunks.rollup(by).agg(F.count("*").alias("n"), F.grouping(by).cast("int").alias("total"))
 
 
-def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The row of the smallest ``order`` for each key; null keys count as one key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
@@ -70,3 +70,16 @@ def running_index(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 def ingest_batches(rows: DataFrame, order: str, size: int = 16) -> DataFrame:
     return running_index(rows, order, "_index").withColumn("batch_no", F.floor(F.col("_index") / size)).drop("_index")
+
+
+def progress(batches: DataFrame, size: int = 16, batch: str = "batch_no", seconds: float | None = None) -> DataFrame:
+    """(batch_no, n_batches, added, total, pct, eta_s) of numbered rows: what is done after each batch.
+
+    ``seconds`` is what a batch takes; without it ``eta_s`` is null.
+    """
+    count = batches.count()
+    out = batches.select(F.col(batch).alias("batch_no")).distinct().withColumn("total", F.lit(count).cast("long"))
+    added = F.least((F.col("batch_no") + 1) * size, F.col("total"))
+    n = F.ceil(F.col("total") / size)
+    eta = F.lit(seconds).cast("double") * (F.col("batch_no") + 1) / F.greatest(added, F.lit(1)) * (F.col("total") - added)
+    return out.select("batch_no", n.alias("n_batches"), added.alias("added"), "total", F.round(100.0 * added / F.col("total"), 1).alias("pct"), eta.alias("eta_s"))
