@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import generate as G
 from ..functions import text as T
 from ..operators import answer as A
 
@@ -99,7 +100,12 @@ def bow(name: str, of: str, key: str, column: str) -> str:
 {name} AS (SELECT {key}, bucket, n / sqrt(sum((n * n)::DOUBLE) OVER (PARTITION BY {key})) AS weight FROM {name}_n)"""
 
 
-HITS = f"""WITH asked AS (SELECT response_id, query_used FROM orchestrator_responses WHERE response_id % 20 = 0 AND query_used IS NOT NULL),
+ASKED = "SELECT response_id, query_used FROM orchestrator_responses WHERE response_id % 20 = 0 AND query_used IS NOT NULL"
+
+
+def searched(asked: str) -> str:
+    """Common table expressions of a search for the rows (response_id, query_used) of ``asked``."""
+    return f"""WITH asked AS ({asked}),
 {bow('q', 'asked', 'response_id', 'query_used')},
 {bow('x', 'chunks', 'ingest_pos', 'text')},
 cosines AS (SELECT response_id, ingest_pos, sum(q.weight * x.weight) AS cosine FROM q JOIN x USING (bucket) GROUP BY 1, 2),
@@ -109,6 +115,58 @@ found AS (SELECT h.*, c.source, c.section, c.doc_type, c.text FROM hits h JOIN c
 cited AS (SELECT *, row_number() OVER (PARTITION BY response_id, source, section ORDER BY rank) AS place FROM found)"""
 
 
+HITS = searched(ASKED)
+N = "chr(10)"
+T_ = A.TEMPLATE
+
+
+def lit(text: str) -> str:
+    return f"'{_q(text)}'"
+
+
+DUTIES = "".join(f"\n- {d}" for d in T_.duties)
+#: After :func:`searched`: prompts, and the answers of the extractive generator with their citations.
+PROMPTS = f""", blocks AS (
+  SELECT response_id, count(*) AS n_hits, max(score) AS best_score, string_agg('--- Passage ' || rank || ' ---' || {N} || 'Source: ' || coalesce(source, 'Unknown Source') || ' | Type: ' || coalesce(doc_type, '')
+    || CASE WHEN coalesce(section, '') <> '' THEN ' | Section: ' || section ELSE '' END || {N} || coalesce(text, ''), {N} || {N} ORDER BY rank) AS context FROM found GROUP BY 1),
+prompts AS (SELECT response_id, query_used, coalesce(n_hits, 0) AS n_hits, best_score,
+  CASE WHEN context IS NOT NULL THEN {lit(f'## {T_.passages}')} || {N} || {N} || context || {N} || {N} || {lit(f'## {T_.question}')} || {N} || {N} || query_used || {lit(f"{chr(10)}{chr(10)}## {T_.duties_head}{chr(10)}{DUTIES}{chr(10)}{chr(10)}{T_.cue}")}
+  ELSE {lit(f'## {T_.question}')} || {N} || {N} || query_used || {N} || {N} || {lit(T_.no_passages)} END AS prompt FROM asked LEFT JOIN blocks USING (response_id))"""
+FIRST = "'--- Passage 1 ---\n[^\n]*\n((?s:.{0,300}))'"
+ANSWERS = f"""{PROMPTS},
+lists AS (SELECT response_id, count(*) AS n_citations, string_agg(concat_ws(' | ', coalesce(source, ''), coalesce(section, ''), coalesce(doc_type, ''), score::VARCHAR), '; ' ORDER BY rank) AS citations,
+  string_agg({N} || '  ' || n || '. ' || upper(coalesce(doc_type, '')) || ' ' || coalesce(source, 'Unknown Source') || CASE WHEN coalesce(section, '') <> '' THEN ', ' || left(section, 55) ELSE '' END || ' (' || score::VARCHAR || ')', '' ORDER BY rank) AS shown
+  FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY rank) AS n FROM cited WHERE place = 1) GROUP BY 1),
+answers AS (SELECT response_id, query_used, n_hits, best_score, coalesce(n_citations, 0) AS n_citations, coalesce(citations, '') AS citations, shown, n_hits > 0 AS context_used, CASE WHEN n_hits = 0 THEN {lit(A.WARNING)} END AS warning,
+  CASE WHEN regexp_matches(prompt, {FIRST}) THEN {lit(G.QUOTED + ' ')} || regexp_extract(prompt, {FIRST}, 1) ELSE {lit(G.NOTHING)} END || {N} || {N} || {lit(G.NOTICE)} AS answer FROM prompts LEFT JOIN lists USING (response_id))"""
+UPLOADS = f"""SELECT *, CASE WHEN mime = 'text/plain' THEN 415 WHEN bytes = 0 THEN 400 WHEN {strip("coalesce(extracted_text, '')")} = '' THEN 422 ELSE 200 END AS status,
+  CASE WHEN mime = 'text/plain' THEN 415 WHEN bytes = 0 THEN 400 WHEN extracted_text IS NULL THEN 422 ELSE 200 END AS readable FROM (
+  SELECT response_id, query_used AS question, extracted_text, coalesce(length(answer), 0) AS bytes, CASE WHEN response_id % 60 = 0 THEN 'image/png' WHEN flow = 'document_upload' THEN 'application/pdf' ELSE 'text/plain' END AS mime
+  FROM orchestrator_responses WHERE response_id % 20 = 0)"""
+
+
+def document_query(text: str, question: str) -> str:
+    return f"""{lit(T_.document)} || {N} || {N} || left({text}, 3000) || {N} || {N} || CASE WHEN {strip(f"coalesce({question}, '')")} <> '' THEN {lit(T_.about_document + ' ')} || {question} ELSE {lit(T_.no_question)} END"""
+
+
+def status(limit: str) -> str:
+    return f"CASE WHEN {strip('a.query_used')} = '' {limit} THEN 400 ELSE 200 END"
+
+
+SUMM = f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN court IS NOT NULL THEN doc_id END AS id, t AS text, summary FROM (
+  SELECT *, coalesce(nullif(text, ''), summary) AS t FROM (SELECT DISTINCT * FROM iltur_judgments WHERE source_config = 'summ')) WHERE {strip('t')} <> ''"""
+BAIL = f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, t AS text FROM (
+  SELECT *, coalesce(nullif(text, ''), court) AS t FROM (SELECT DISTINCT * FROM iltur_judgments WHERE source_config = 'bail')) WHERE {strip('t')} <> ''"""
+
+
+def summ() -> str:
+    return f"SELECT coalesce(id, i::VARCHAR) AS doc_id, text, summary, 'Supreme Court of India' AS court, 'judgment' AS doc_type, 'summ' AS source_config FROM ({SUMM})"
+
+
+def bail(first: str = "0") -> str:
+    return f"SELECT 'bail_' || (i + {first}) AS doc_id, text, NULL::VARCHAR AS summary, 'Supreme Court of India' AS court, 'judgment' AS doc_type, 'bail' AS source_config FROM ({BAIL})"
+
+
 def dense(k: int, where: str = "true", least: str = "true") -> str:
     return f"""SELECT query_id, vec_id, rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 10) DESC, vec_id)::INT AS rank, round((1 + cosine) / 2, 4) AS score FROM (
@@ -117,8 +175,6 @@ def dense(k: int, where: str = "true", least: str = "true") -> str:
 WHERE rank <= {k} AND {least}"""
 
 
-RULES = "\n".join(f"{i}. {r}" for i, r in enumerate(A.RULES, 1))
-
 ORACLE: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
     "clean_pages": f"SELECT filename, page_num, {clean('text')} AS cleaned FROM statute_pages",
@@ -153,19 +209,37 @@ ORACLE: dict[str, str] = {
     "embed_bow": f"WITH {bow('x', 'documents', 'doc_id', 'text')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM x",
     "text_search": f"{HITS} SELECT response_id, ingest_pos, rank, score FROM hits",
     "citations_distinct": f"{HITS} SELECT response_id, source, section, doc_type, score FROM cited WHERE place = 1",
-    "prompt_build": f"""{HITS}, blocks AS (
-  SELECT response_id, count(*) AS n_hits, string_agg('--- Passage ' || rank || ' ---' || chr(10) || 'Source: ' || coalesce(source, 'Unknown Source') || ' | Type: ' || coalesce(doc_type, '')
-    || CASE WHEN coalesce(section, '') <> '' THEN ' | Section: ' || section ELSE '' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM found GROUP BY 1)
-SELECT response_id, CASE WHEN context IS NOT NULL THEN '[PASSAGES]' || chr(10) || context || chr(10) || chr(10) || '[QUESTION]' || chr(10) || query_used || '\n\n[TASK]\n{_q(RULES)}\n\nAnswer:'
-  ELSE 'The user asked: ' || query_used || chr(10) || chr(10) || '{_q(A.NO_HITS)}' END AS prompt, coalesce(n_hits, 0) AS n_hits FROM asked LEFT JOIN blocks USING (response_id)""",
-    "rag_response": f"""{HITS}
-SELECT a.response_id, count(f.rank) AS n_hits, (SELECT count(*) FROM cited c WHERE c.response_id = a.response_id AND place = 1) AS n_citations, max(f.score) AS best_score,
-  count(f.rank) > 0 AS context_used, CASE WHEN count(f.rank) = 0 THEN '{_q(A.WARNING)}' END AS warning FROM asked a LEFT JOIN found f USING (response_id) GROUP BY 1""",
+    "prompt_build": f"{HITS}{PROMPTS} SELECT response_id, prompt, n_hits FROM prompts",
+    "rag_response": f"{HITS}{ANSWERS} SELECT response_id, n_hits, n_citations, best_score, context_used, warning FROM answers",
+    "rag_answer": f"{searched(f'SELECT * FROM ({ASKED}) a WHERE ' + status('OR length(a.query_used) > 1000') + ' = 200')}{ANSWERS} SELECT response_id, {status('OR length(a.query_used) > 1000')} AS status, a.query_used AS query, answer, citations, context_used, warning FROM ({ASKED}) a LEFT JOIN answers USING (response_id)",
+    "text_flow": f"{searched(f'SELECT * FROM ({ASKED}) a WHERE ' + status('') + ' = 200')}{ANSWERS} SELECT response_id, 'text_query' AS flow, {status('')} AS status, a.query_used, answer, citations, context_used, warning FROM ({ASKED}) a LEFT JOIN answers USING (response_id)",
+    "document_flow": f"""{searched(f"SELECT response_id, {document_query('extracted_text', 'question')} AS query_used FROM ({UPLOADS}) WHERE status = 200")}{ANSWERS}
+SELECT response_id, 'document_upload' AS flow, status, CASE WHEN status = 200 THEN coalesce(nullif({strip('question')}, ''), {lit(T_.document_label)}) END AS query_used, answer, citations, context_used, warning,
+  CASE WHEN status = 200 THEN CASE WHEN length(extracted_text) > 500 THEN left(extracted_text, 500) || '...' ELSE extracted_text END END AS extracted_text FROM ({UPLOADS}) LEFT JOIN answers USING (response_id)""",
+    "document_analyze": f"""SELECT response_id, readable AS status, 'upload_' || response_id AS filename, CASE WHEN readable = 200 THEN CASE WHEN mime = 'application/pdf' THEN 'pdf' ELSE 'image' END END AS file_type,
+  CASE WHEN readable = 200 THEN length(extracted_text)::INT END AS character_count, CASE WHEN readable = 200 THEN extracted_text END AS extracted_text, CASE WHEN readable = 200 THEN {strip('extracted_text')} <> '' END AS success FROM ({UPLOADS})""",
+    "citation_lists": f"{HITS}{ANSWERS} SELECT response_id, citations FROM lists",
+    "pretty_print": f"{HITS}{ANSWERS} SELECT response_id, 'Question: ' || query_used || {N} || {N} || answer || coalesce({N} || {N} || 'Sources:' || shown, '') || coalesce({N} || {N} || 'Warning: ' || warning, '') AS shown FROM answers",
     "citations_stored": "SELECT response_id, source, section, doc_type, score FROM (SELECT response_id, i, c.source, c.section, c.doc_type, c.score FROM (SELECT response_id, i, citations[i] AS c FROM (SELECT response_id, citations, unnest(range(1, len(citations) + 1)) AS i FROM orchestrator_responses))) QUALIFY row_number() OVER (PARTITION BY response_id, source, section ORDER BY i) = 1",
-    "doc_query_template": f"""SELECT response_id, 'Text of a legal document:' || chr(10) || chr(10) || left(extracted_text, 3000) || chr(10) || chr(10) || CASE WHEN {strip("coalesce(query_used, '')")} <> ''
-  THEN 'Answer this question from the document: ' || query_used ELSE 'Explain its main clauses, rights and duties, and name clauses that may be unfair.' END AS query,
-  coalesce(nullif({strip('query_used')}, ''), 'Document analysis') AS label FROM orchestrator_responses WHERE extracted_text IS NOT NULL""",
+    "doc_query_template": f"SELECT response_id, {document_query('extracted_text', 'query_used')} AS query, coalesce(nullif({strip('query_used')}, ''), {lit(T_.document_label)}) AS label FROM orchestrator_responses WHERE extracted_text IS NOT NULL",
     "validate_request": f"SELECT doc_id, CASE WHEN text IS NULL OR {strip('text')} = '' OR length(text) > 1000 THEN 400 ELSE 200 END AS limited, CASE WHEN text IS NULL OR {strip('text')} = '' THEN 400 ELSE 200 END AS unlimited FROM documents",
     "validate_upload": "SELECT doc_id, CASE WHEN coalesce(doc_kind, '') NOT IN ('notice', 'order') THEN 415 WHEN coalesce(length(text), 0) = 0 THEN 400 WHEN NOT coalesce(lang <> 'und', false) THEN 422 ELSE 200 END AS status FROM documents",
     "health_rollup": "SELECT CASE WHEN bool_and(warning IS NULL) THEN 'healthy' ELSE 'degraded' END AS overall FROM orchestrator_responses",
+    "health_services": f"SELECT 'ok — ' || count(*) || ' chunks indexed' AS store, 'ok — bag of words, 384' AS embedder, 'ok — extractive' AS generator, 'healthy' AS overall FROM vector_rows",
+    "judgments_summ": summ(),
+    "judgments_bail": bail(),
+    "judgments_union": f"{summ()} UNION ALL {bail(f'(SELECT count(*) FROM ({SUMM}))')}",
+    "files_by_kind": r"SELECT name, CASE WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(name), '\.(jpg|jpeg|png|tiff|bmp)$') THEN 'image' ELSE 'unsupported' END AS file_type FROM (SELECT filename || unnest(['', '.PNG', '.tif', '.tiff']) AS name FROM statute_files)",
+    "json_array_round_trip": "SELECT filename, source, doc_type FROM statute_files",
+    "vector_append": "SELECT chunk_id, ingest_pos FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN ingest_pos % 3 = 0 THEN 0 ELSE 1 END, ingest_pos) = 1",
+    "vector_truncate": "SELECT count(DISTINCT chunk_id) AS n_before, 0::BIGINT AS n_after FROM chunks",
+    "stream_ingest": "SELECT chunk_id, ingest_pos FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingest_pos) = 1",
+    "ingest_progress": "SELECT b AS batch_no, n AS n_batches, added, total, round(100.0 * added / total, 1) AS pct, 1.5 * (b + 1) / added * (total - added) AS eta_s FROM (SELECT b, (total + 15) // 16 AS n, least((b + 1) * 16, total) AS added, total FROM (SELECT total, unnest(range((total + 15) // 16)) AS b FROM (SELECT count(*) AS total FROM chunks)))",
+    "random_peek": "SELECT ingest_pos, left(source, 55) AS source, coalesce(nullif(left(section, 60), ''), '—') AS section, left(text, 180) AS preview FROM chunks WHERE text IS NOT NULL ORDER BY md5('7' || ingest_pos), ingest_pos LIMIT 3",
+    "build_corpus": f"""WITH RECURSIVE {STATUTES}, sampled AS (SELECT * FROM (SELECT DISTINCT doc_id, text, doc_type, court, source_config FROM iltur_judgments) ORDER BY md5('42' || doc_id), doc_id LIMIT 3000),
+judgments AS (SELECT doc_id, {clean('text')} AS text, 'SC Judgment — ' || coalesce(source_config, 'iltur') AS source, doc_type, court, source_config FROM sampled), {chunks('judgments', 'doc_id', 'jc')}, {chunks('statutes', 'filename', 'sc')},
+ready AS (SELECT ingest_pos, chunk_id, {clean('text')} AS t, source FROM chunks), taken AS (SELECT *, row_number() OVER (ORDER BY md5('42' || ingest_pos)) - 1 AS i FROM (SELECT * FROM ready WHERE length(t) >= 80 ORDER BY md5('42' || ingest_pos), ingest_pos LIMIT 2000))
+SELECT chunk_id, source, doc_type, section, word_count, NULL AS court, 'statutes' AS origin FROM sc
+UNION ALL (SELECT chunk_id, source, doc_type, section, word_count, court, 'judgments' FROM jc ORDER BY md5('42' || doc_id), doc_id, chunk_no LIMIT 1000)
+UNION ALL SELECT coalesce(nullif(chunk_id, ''), 'sc_' || lpad(i::VARCHAR, 5, '0')), coalesce(source, 'Supreme Court of India'), 'judgment', '', len({words('t')})::INT, NULL, 'prechunked' FROM taken""",
 }

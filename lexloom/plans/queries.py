@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, text
 from ..operators import answer, chunk, curate, vector
-from ..session import materialize, table
+from ..session import materialize, shared_dir, table
 from ..sources import documents as sources
+from ..streaming.ingest import ingest, stream_chunks
+from . import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -123,8 +125,8 @@ def prechunked(spark, root):
 
 
 def _judgments(spark, root):
-    label = F.concat(F.lit("SC Judgment — "), F.coalesce("source_config", F.lit("iltur")))
-    return table(spark, root, "iltur_judgments").distinct().select("doc_id", text.clean_text(F.col("text")).alias("text"), label.alias("source"), "doc_type", "court", "source_config")
+    label = build.judgment_source(F.col("source_config"))
+    return sources.spread(table(spark, root, "iltur_judgments").distinct()).select("doc_id", text.clean_text(F.col("text")).alias("text"), label.alias("source"), "doc_type", "court", "source_config")
 
 
 @query
@@ -220,9 +222,7 @@ def _answers(spark, root):
 
 def _hits(spark, root, k=5):
     """Searches of the stored queries in the chunks, by words."""
-    chunks = table(spark, root, "chunks")
-    queries = embed.bag_of_words(_answers(spark, root), "response_id", "query_used")
-    return vector.sparse_topk(queries, embed.bag_of_words(chunks.select("ingest_pos", "text"), "ingest_pos", "text"), "response_id", "ingest_pos", k)
+    return vector.text_topk(_answers(spark, root), table(spark, root, "chunks"), "response_id", "query_used", "ingest_pos", "text", k)
 
 
 @query
@@ -251,9 +251,70 @@ def prompt_build(spark, root):
     return answer.build_prompts(_answers(spark, root), _found(spark, root), "response_id", "query_used")
 
 
+def _search(spark, root, query, question, k=5):
+    """A search in the chunks for the flows: thresholded hits with what a response shows of them."""
+    chunks = table(spark, root, "chunks")
+
+    def search(asked):
+        hits = vector.threshold(vector.text_topk(asked, chunks, query, question, "ingest_pos", "text", k))
+        return materialize(hits.join(chunks.select("ingest_pos", "source", "section", "doc_type", "text"), "ingest_pos"), "hits")
+
+    return search
+
+
+def _cited(column="citations"):
+    """An array of citations as one string, so that any engine can compare it."""
+    part = lambda c, f: F.coalesce(c[f], F.lit(""))
+    return F.array_join(F.transform(column, lambda c: F.concat_ws(" | ", part(c, "source"), part(c, "section"), part(c, "doc_type"), c["score"].cast("string"))), "; ").alias("citations")
+
+
 @query
 def rag_response(spark, root):
-    return answer.responses(_answers(spark, root), materialize(_found(spark, root), "hits"), "response_id")
+    asked = _answers(spark, root)
+    made = answer.responses(asked, _search(spark, root, "response_id", "query_used")(asked), "response_id", "query_used")
+    return made.select("response_id", "n_hits", F.size("citations").cast("long").alias("n_citations"), "best_score", "context_used", "warning")
+
+
+@query
+def rag_answer(spark, root):
+    """The legal query: question, answer, citations, warning; 400 for blank and for too long questions."""
+    made = answer.answer_questions(_answers(spark, root), _search(spark, root, "response_id", "query_used"), "response_id", "query_used")
+    return made.select("response_id", "status", F.col("query_used").alias("query"), "answer", _cited(), "context_used", "warning")
+
+
+@query
+def text_flow(spark, root):
+    made = answer.answer_questions(_answers(spark, root), _search(spark, root, "response_id", "query_used"), "response_id", "query_used", None)
+    return made.select("response_id", "flow", "status", "query_used", "answer", _cited(), "context_used", "warning")
+
+
+def _uploads(spark, root):
+    rows = table(spark, root, "orchestrator_responses").where("response_id % 20 = 0")
+    mime = F.when(F.col("response_id") % 60 == 0, "image/png").when(F.col("flow") == "document_upload", "application/pdf").otherwise("text/plain")
+    return rows.select("response_id", mime.alias("mime"), F.coalesce(F.length("answer"), F.lit(0)).alias("bytes"), "extracted_text", "query_used", F.concat(F.lit("upload_"), F.col("response_id").cast("string")).alias("filename"))
+
+
+@query
+def document_flow(spark, root):
+    made = answer.answer_documents(_uploads(spark, root), _search(spark, root, "response_id", "query_used"), "response_id", "mime", "bytes", "extracted_text", "query_used")
+    return made.select("response_id", "flow", "status", "query_used", "answer", _cited(), "context_used", "warning", "extracted_text")
+
+
+@query
+def document_analyze(spark, root):
+    return answer.analyze_documents(_uploads(spark, root), "response_id", "filename", "mime", "bytes", "extracted_text")
+
+
+@query
+def citation_lists(spark, root):
+    return answer.citation_lists(_found(spark, root), "response_id").select("response_id", _cited())
+
+
+@query
+def pretty_print(spark, root):
+    asked = _answers(spark, root)
+    made = asked.join(answer.responses(asked, _search(spark, root, "response_id", "query_used")(asked), "response_id", "query_used"), "response_id")
+    return made.select("response_id", answer.rendered(F.col("query_used"), F.col("answer"), F.col("citations"), F.col("warning")).alias("shown"))
 
 
 @query
@@ -285,3 +346,107 @@ def validate_upload(spark, root):
 def health_rollup(spark, root):
     rows = table(spark, root, "orchestrator_responses").select(F.when(F.col("warning").isNull(), "ok").otherwise("error").alias("status"))
     return answer.health(rows)
+
+
+@query
+def health_services(spark, root):
+    """The status of the vector table, the embedder and the generator, and of all of them."""
+    stored = table(spark, root, "vector_rows").agg(F.lit("store").alias("service"), F.concat(F.lit("ok — "), F.count("*").cast("string"), F.lit(" chunks indexed")).alias("status"))
+    others = spark.createDataFrame([("embedder", f"ok — bag of words, {embed.DIMENSIONS}"), ("generator", "ok — extractive")], "service string, status string")
+    return answer.health_report(stored.unionByName(others), ["store", "embedder", "generator"])
+
+
+# --- the sources once more, and the offline build
+
+
+def _raw_summ(spark, root):
+    rows = table(spark, root, "iltur_judgments").where("source_config = 'summ'").distinct()
+    return rows.select(F.col("doc_id").alias("order"), F.when(F.col("court").isNotNull(), F.col("doc_id")).alias("id"), F.col("text").alias("document"), F.col("summary").alias("text"), "summary")
+
+
+def _raw_bail(spark, root):
+    rows = table(spark, root, "iltur_judgments").where("source_config = 'bail'").distinct()
+    return rows.select(F.col("doc_id").alias("order"), F.lit(None).cast("string").alias("facts"), "text", F.col("court").alias("document"))
+
+
+@query
+def judgments_summ(spark, root):
+    return sources.judgments_summ(_raw_summ(spark, root), "order")
+
+
+@query
+def judgments_bail(spark, root):
+    return sources.judgments_bail(_raw_bail(spark, root), "order")
+
+
+@query
+def judgments_union(spark, root):
+    return sources.judgments(_raw_summ(spark, root), _raw_bail(spark, root), "order")
+
+
+@query
+def files_by_kind(spark, root):
+    """The names of the statute files, as they are and under other endings, with their kind."""
+    endings = F.explode(F.array(F.lit(""), F.lit(".PNG"), F.lit(".tif"), F.lit(".tiff")))
+    return table(spark, root, "statute_files").select("filename", endings.alias("ending")).select(F.concat("filename", "ending").alias("name")).select("name", sources.file_kind(F.col("name")).alias("file_type"))
+
+
+def _fresh(spark, name):
+    import uuid
+
+    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query
+def json_array_round_trip(spark, root):
+    """The statute files written as one JSON array and read again."""
+    path = _fresh(spark, "json")
+    sources.write_json_array(table(spark, root, "statute_files"), path)
+    return sources.json_array(spark, path, "filename string, source string, doc_type string")
+
+
+@query
+def vector_append(spark, root):
+    """Every third chunk appended to a new vector table, then all: each key once, the earlier table first."""
+    rows, path = table(spark, root, "chunks").select("chunk_id", "ingest_pos"), _fresh(spark, "vectors")
+    vector.create(spark, path, "chunk_id string, ingest_pos long")
+    vector.append(rows.where("ingest_pos % 3 = 0"), path, "chunk_id", "ingest_pos")
+    vector.append(rows, path, "chunk_id", "ingest_pos")
+    return spark.read.parquet(path)
+
+
+@query
+def vector_truncate(spark, root):
+    """The number of rows of a vector table before and after it is emptied."""
+    path = _fresh(spark, "vectors")
+    vector.append(table(spark, root, "chunks").select("chunk_id", "ingest_pos"), path, "chunk_id", "ingest_pos")
+    before = spark.read.parquet(path).count()
+    vector.truncate(spark, path)
+    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("n_before"), F.count("*").alias("n_after"))
+
+
+@query
+def stream_ingest(spark, root):
+    """The chunks streamed into a new vector table, each key once."""
+    path, checkpoint, source = _fresh(spark, "vectors"), _fresh(spark, "stream"), table(spark, root, "chunks")
+    ingest(stream_chunks(spark, f"{root}/chunks.parquet*", source.schema), path, checkpoint, order="ingest_pos").awaitTermination()
+    return spark.read.parquet(path).select("chunk_id", "ingest_pos")
+
+
+@query
+def ingest_progress(spark, root):
+    return curate.progress(ingest_batches(spark, root), seconds=1.5)
+
+
+@query
+def random_peek(spark, root):
+    """Three chunks in the seeded order, as a console shows them."""
+    rows = curate.sample(table(spark, root, "chunks").where("text is not null").select("ingest_pos", "source", "section", "text"), "ingest_pos", 3, seed=7)
+    return rows.select("ingest_pos", F.left("source", F.lit(55)).alias("source"), F.coalesce(F.nullif(F.left("section", F.lit(60)), F.lit("")), F.lit("—")).alias("section"), text.preview(F.col("text"), 180).alias("preview"))
+
+
+@query
+def build_corpus(spark, root):
+    """The whole offline build: chunks of statutes, judgments and ready-made chunks; the caps are its feature."""
+    made = build.build_corpus(table(spark, root, "statute_pages"), table(spark, root, "statute_files"), table(spark, root, "iltur_judgments"), table(spark, root, "chunks").select("ingest_pos", "chunk_id", "text", "source"))
+    return made.select("chunk_id", "source", "doc_type", "section", "word_count", "court", "origin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, falsy_coalesce, is_blank, ocr_lines
@@ -20,35 +20,107 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines in many files, for tables of any size."""
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """A folder with one file that holds one JSON array, two spaces to a level, for readers that need that.
+
+    Null fields are left out, other characters than ASCII kept, an existing folder is overwritten. The
+    file is written by one task, a row at a time.
+    """
+    one = rows.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = "["
+        for part in parts:
+            for value in part["value"]:
+                yield pd.DataFrame({"value": [held if held == "[" else held + ","]})
+                held = "  " + value.replace("\n", "\n  ")
+        yield pd.DataFrame({"value": [held, "]"]})
+
+    one.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def file_kind(path: Column) -> Column:
+    """pdf, image or unsupported, by the ending of a file's name."""
+    suffix = F.regexp_extract(F.lower(path), r"(\.[^./]+)$", 1)
+    return F.when(suffix == ".pdf", "pdf").when(suffix.isin(".jpg", ".jpeg", ".png", ".tiff", ".bmp"), "image").otherwise("unsupported")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Binary files with their kind: pdf, image or unsupported."""
-    suffix = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
-    kind = F.when(suffix == ".pdf", "pdf").when(suffix.isin(".jpg", ".jpeg", ".png", ".tiff", ".bmp"), "image").otherwise("unsupported")
-    return spark.read.format("binaryFile").load(path).withColumn("file_type", kind)
+    return spark.read.format("binaryFile").load(path).withColumn("file_type", file_kind(F.col("path")))
 
 
-def extract(rows: DataFrame, load: Callable[[], Callable[[bytes, str], list[str]]]) -> DataFrame:
-    """(path, page_num, text): pages of binary files by a pluggable extractor, loaded once per task.
+#: Pages of a file: its bytes and kind -> the texts of its pages. Raises if it can't be read.
+Pages = Callable[[bytes, str], list[str]]
 
-    A file that cannot be read gives no page; blank pages are dropped but keep their number.
+
+def ocr_extractor(rasterise: Callable[[bytes, int], list], read_image: Callable[[bytes], object], clean: Callable[[object], object], recognise: Callable[[object, str, str], str], dpi: int = 300, config: str = "--psm 6 --oem 3", lang: str = "eng") -> Callable[[], Pages]:
+    """An extractor for :func:`extract` made of plug-ins, for image libraries that need not be here.
+
+    ``rasterise`` turns a PDF into images of its pages, ``read_image`` decodes an image, ``clean``
+    makes it grey, without noise, black and white and straight, ``recognise`` reads its text, which
+    is stripped line by line. Pages without text stay empty, so that the others keep their numbers.
     """
 
+    def load() -> Pages:
+        def pages(content: bytes, kind: str) -> list[str]:
+            if kind not in ("pdf", "image"):
+                raise ValueError(f"unsupported file: {kind}")
+            images = rasterise(content, dpi) if kind == "pdf" else [read_image(content)]
+            read = (recognise(clean(i), lang, config) for i in images)
+            return ["\n".join(x for line in t.splitlines() if (x := line.strip())) for t in read]
+
+        return pages
+
+    return load
+
+
+def deskew_angle(angle: float) -> float:
+    """By how many degrees to turn an image whose dark pixels lie in a box at this angle; 0 if less than half a degree."""
+    turn = angle + 90 if angle < -45 else angle
+    return 0.0 if abs(turn) < 0.5 else turn
+
+
+def _read(rows: DataFrame, load: Callable[[], Pages]) -> DataFrame:
+    """(path, file_type, pages, success) of binary files; no pages and no success if a file can't be read."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pages_of = load()
         for part in parts:
-            out = []
-            for r in part.itertuples():
+            for r in part.itertuples():  # a file may be large: one at a time
                 try:
-                    pages = pages_of(bytes(r.content), r.file_type)
+                    pages, success = pages_of(bytes(r.content), r.file_type), True
                 except Exception:  # an unreadable file is no error of the job
-                    pages = []
-                out += [(r.path, i, t) for i, t in enumerate(pages, 1) if t and t.strip()]
-            yield pd.DataFrame(out, columns=["path", "page_num", "text"])
+                    pages, success = [], False
+                yield pd.DataFrame([(r.path, r.file_type, pages, success)], columns=["path", "file_type", "pages", "success"])
+
+    return rows.select("path", "content", "file_type").mapInPandas(run, "path string, file_type string, pages array<string>, success boolean")
+
+
+def extract(rows: DataFrame, load: Callable[[], Pages]) -> DataFrame:
+    """(path, page_num, text): pages of binary files by a pluggable extractor, loaded once per task.
 
-    return rows.select("path", "content", "file_type").mapInPandas(run, "path string, page_num int, text string")
+    A file that cannot be read gives no page; blank pages are dropped but keep their number.
+    """
+    pages = _read(rows, load).select("path", F.posexplode("pages").alias("page_num", "text"))
+    return pages.select("path", (F.col("page_num") + 1).alias("page_num"), "text").where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
+
+
+def extract_documents(rows: DataFrame, load: Callable[[], Pages]) -> DataFrame:
+    """(path, file_type, text, success): a row for each file, PDF pages with their marks; success says whether it could be read and has text."""
+    pages = F.transform("pages", lambda p, i: F.struct(ocr_lines(p).alias("t"), (i + 1).alias("n")))
+    marked = F.transform(F.filter(pages, lambda p: F.length(p["t"]) > 0), lambda p: F.concat(F.lit("--- Page "), p["n"].cast("string"), F.lit(" ---\n"), p["t"]))
+    text = F.when(F.col("file_type") == "pdf", F.array_join(marked, "\n\n")).otherwise(F.coalesce(F.get("pages", F.lit(0)), F.lit("")))
+    return _read(rows, load).withColumn("text", text).select("path", "file_type", "text", (F.col("success") & ~is_blank(F.col("text"))).alias("success"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to as many partitions as a shuffle has, for work that costs far more than moving them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def statutes(pages: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -59,7 +131,7 @@ def statutes(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     rows = pages.where(~is_blank(F.col("text"))).join(manifest, "filename")
     whole = rows.groupBy("filename", "source", "doc_type").agg(F.sort_array(F.collect_list(F.struct("page_num", "text"))).alias("p"))
-    return whole.select("filename", "source", "doc_type", clean_text(F.array_join("p.text", "\n\n")).alias("text"))
+    return spread(whole).select("filename", "source", "doc_type", clean_text(F.array_join("p.text", "\n\n")).alias("text"))
 
 
 def ocr_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
@@ -85,7 +157,13 @@ def judgments_bail(rows: DataFrame, order: str, first: int = 0) -> DataFrame:
     """As :func:`judgments_summ` for the bail collection: ``facts``, ``text``, ``document`` in this order; ids go on from ``first``."""
     kept = rows.withColumn("_t", falsy_coalesce(F.col("facts"), F.col("text"), F.col("document"))).where(F.col("_t").isNotNull() & ~is_blank(F.col("_t")))
     kept = running_index(kept, order, "_i")
-    return kept.select(F.concat(F.lit("bail_"), (F.col("_i") + first).cast("string")).alias("doc_id"), F.col("_t").alias("text"), F.lit(None).cast("string").alias("summary"), F.lit("District Court").alias("court"), F.lit("judgment").alias("doc_type"), F.lit("bail").alias("source_config"))
+    return kept.select(F.concat(F.lit("bail_"), (F.col("_i") + first).cast("string")).alias("doc_id"), F.col("_t").alias("text"), F.lit(None).cast("string").alias("summary"), F.lit("Supreme Court of India").alias("court"), F.lit("judgment").alias("doc_type"), F.lit("bail").alias("source_config"))
+
+
+def judgments(summ: DataFrame, bail: DataFrame, order: str) -> DataFrame:
+    """Both collections under one another; the ids of the second go on from the number of rows of the first."""
+    first = judgments_summ(summ, order)
+    return first.unionByName(judgments_bail(bail, order, first.count()))
 
 
 def prechunked(rows: DataFrame, order: str) -> DataFrame:

@@ -10,18 +10,18 @@ def one(spark, f, *values):
 
 def test_clean_text(spark):
     page, cut, head, symbols, empty, null = one(
-        spark, T.clean_text, "Some legal text.\n\n  42  \n\nMore legal text.", "This is a hyphen-\nated word.", "THE GAZETTE OF INDIA\nSection 420. Cheating.", "a\n*** ### ***\nb\n-----\nc  d", "", None
+        spark, T.clean_text, "The tenant paid.\n\n 117 \n\nThe landlord denied it.", "A notice was deli-\nvered by post.", "www.indiacode.nic.in\nGovernment  of India\nPart I. Tenancies.", "a\n*** ### ***\nb\n-----\nc  d", "", None
     )
-    assert "42" not in page and page.startswith("Some legal text.") and page.endswith("More legal text.")
-    assert cut == "This is a hyphenated word."
-    assert head == "Section 420. Cheating."
+    assert page.split("\n\n") == ["The tenant paid.", "The landlord denied it."]
+    assert cut == "A notice was delivered by post."
+    assert head == "Part I. Tenancies."
     assert symbols.split() == ["a", "b", "c", "d"]
     assert (empty, null) == ("", None)
 
 
 def test_section_header(spark):
-    found = one(spark, T.section_header, "Section 420. Cheating and dishonestly inducing.", "CHAPTER IV GENERAL EXCEPTIONS", "12. Short title of it. More", "CHAPTER IV", "plain", None)
-    assert found == ["Section 420. Cheating and dishonestly inducing", "CHAPTER IV GENERAL EXCEPTIONS", "12. Short title of it", None, None, None]
+    found = one(spark, T.section_header, "Section 7A. Duty to repair the roof.", "CHAPTER IX RENT AND DEPOSITS\nmore", "12. Short title of it. More", "CHAPTER IV", "plain", None)
+    assert found == ["Section 7A. Duty to repair the roof", "CHAPTER IX RENT AND DEPOSITS", "12. Short title of it", None, None, None]
 
 
 def test_words_and_keys(spark):
