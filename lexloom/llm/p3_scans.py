@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .terms import KnownHashes, TermHashes, hash64, shingle_hashes, terms
+from .p5_quality import KINDS, NAMES, SCHEMA, Measure, Words
+from .terms import KnownHashes, TermHashes, distinct, hash64, shingle_hashes, terms
 
 #: A running title stands in at least this many texts.
 TITLE_IN = 4
@@ -35,6 +36,7 @@ GLYPHS = (
 _HYPHENS = "-­‐‑¬"
 _CUT = re.compile(rf"([^\W\d_]+)[{_HYPHENS}][ \t\r]*$")
 _CUT_INLINE = re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)\s+(?=[^\W\d_])")
+_GOES_ON = re.compile(r"\s*[^\W\d_]")
 _MARK = re.compile(r"^\s*--- Page \d+ ---\s*$")
 _PAGENO = re.compile(r"^(?:[-–—|*•.\[(]\s*)*(?:p\s*a\s*g\s*e\b|pg\b|p\b)?[\s.:|]*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*(?:[-–—|*•.\])]\s*)*$", re.I)
 _CLAUSE = re.compile(r"^(?:\(\d{1,3}\)|\d{1,3}\))\.?$")
@@ -144,7 +146,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             words, titles, pairs = Counter(), Counter(), [np.empty(0, np.uint64)]
             for text in batch.column(0).to_pylist():
                 own = words_of(text.lower())
-                pairs.append(np.unique(shingle_hashes(hashes(own), 2)))
+                pairs.append(distinct(shingle_hashes(hashes(own), 2)))
                 words.update(set(own) if text.isascii() else {*own, *terms(text)})
                 if "\n" in text:
                     titles.update({k for k in map(title_key, text.split("\n")) if k})
@@ -177,84 +179,136 @@ def suspect_words(counts: DataFrame) -> Broadcast:
     return counts.sparkSession.sparkContext.broadcast(KnownHashes.collect(found))
 
 
-def find_noise(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None) -> DataFrame:
-    """(src, item_id, line_no, kind, wrong, right) of the noise in texts.
+_PAGENO_SIGNS = (" - ", " — ", " – ", "( ", "[Pg", "[pg", "page ", "Page ", "PAGE ", "a g e ")
+
+
+class Finder:
+    """Finds the noise of a text: (line_no, kind, word, before, after). ``words`` tells suspect words, ``titles`` known titles."""
+
+    SUSPECT = 8
+
+    def __init__(self, words: Words, titles: KnownHashes):
+        self.words, self.reader = words, Reader(lambda key: titles.has(hash64(key.encode())))
+
+    def __call__(self, text: str, own: list[str], bits: np.ndarray) -> list[tuple]:
+        """``own`` are the terms of the text, ``bits`` what ``words`` has for them."""
+        # in such a text terms and words are the same
+        plain = "!" not in text and (text.isascii() or text.replace("\u20b9", "").isascii())
+        clean = plain and not (bits & self.SUSPECT).any()
+        lines = text.split("\n")
+        return self._in_one_line(text, clean) if len(lines) == 1 else self._in_lines(lines, clean)
+
+    def _in_one_line(self, text: str, clean: bool) -> list[tuple]:
+        out: list[tuple] = []
+        heads = [m for m in (_CAPITALS.finditer(text) if _CAPITAL_RUN.search(text) else ()) if (k := title_key(m[0])) and self.reader.titles(k)]
+        rest = text
+        for m in reversed(heads):
+            out.append((1, "header", m[0], None, None))
+            rest = rest[: m.start()] + " " + rest[m.end() :]
+        if any(map(rest.__contains__, _PAGENO_SIGNS)):
+            numbers = [m[0] for m in _PAGENO_INLINE.finditer(rest)]
+            if numbers:
+                out += [(1, "pageno", n, None, None) for n in numbers]
+                rest = _PAGENO_INLINE.sub(" ", rest)
+        joined: set[str] = set()
+        if any(map(rest.__contains__, _HYPHENS)) and _CUT_INLINE.search(rest):
+            out.append((1, "hyphen", None, None, None))
+            parted = set(words_of(rest.lower()))
+            rest = _CUT_INLINE.sub("", rest)
+            joined = set(words_of(rest.lower())) - parted
+        if not clean or joined:
+            self._suspects(words_of(rest), None, joined, out)
+        return out
 
-    ``tables`` has, for each table, its name, rows, id and text column. Lines are counted from 1
-    and end at ``\\n``; kinds are ``header``, ``pageno``, ``hyphen`` and ``glyph``; ``wrong`` and
-    ``right`` are the forms of a word with wrong glyphs, else null. In a text without line breaks
-    every finding has line_no 1. Null texts have none; repeated rows of an id count once; titles
-    and words are counted over all texts, or by ``counts``, made by :func:`word_counts`.
+    def _in_lines(self, lines: list[str], clean: bool) -> list[tuple]:
+        kinds = self.reader.kinds(lines)
+        out: list[tuple] = [(i, k, None, None, None) for i, k in enumerate(kinds, 1) if k in ("header", "pageno")]
+        running = [i for i, k in enumerate(kinds) if k == "text"]
+        cuts = {i for i, after in zip(running, running[1:]) if (lines[i].rstrip()[-1:] or "x") in _HYPHENS and _CUT.search(lines[i]) and _GOES_ON.match(lines[after])}
+        if clean and not cuts:
+            return out
+        tokens: list[str] = []
+        places: list[int] = []
+        joined: tuple[int, str] | None = None
+        wholes: set[str] = set()
+        for i in running:
+            words = words_of(lines[i])
+            if joined is not None and words:  # the word began on the line before
+                whole = joined[1] + words.pop(0)
+                tokens.append(whole)
+                places.append(joined[0])
+                wholes.add(whole.lower())
+            joined = None
+            if i in cuts:
+                out.append((i + 1, "hyphen", None, None, None))
+                joined = (i + 1, words.pop()) if words else None
+            tokens += words
+            places += [i + 1] * len(words)
+        self._suspects(tokens, places, wholes, out)
+        return out
+
+    def _suspects(self, tokens: list[str], places: list[int] | None, joined: set[str], out: list[tuple]) -> None:
+        """Words that may be wrong, and those put together here, which may not be counted; ``places`` has the words' lines, if not all are in line 1."""
+        if not tokens:
+            return
+        low = " ".join(tokens).lower().split(" ")
+        hits = (self.words.bits(low) & self.SUSPECT).astype(bool)
+        if joined:
+            hits |= np.fromiter(map(joined.__contains__, low), bool, len(low))
+        for i in np.flatnonzero(hits).tolist():
+            word = low[i]
+            if len(word) > 2 and (word.isalpha() or sum(map(str.isalpha, word)) > 1):
+                out.append((places[i] if places else 1, "glyph", tokens[i], low[i - 1] if i else None, low[i + 1] if i + 1 < len(low) else None))
+
+
+def look(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame, measured: str | None = None, known: np.ndarray | None = None) -> DataFrame:
+    """What may be noise in each text, and, in the same pass, the statistics of the texts of one table.
+
+    (src, item_id, line_no, kind, word, before, after) and the columns of p5's statistics; these are
+    in a row of its own, of kind ``text``, for each text of the table ``measured``; ``known`` has
+    the hashes of the known words.
     """
-    texts = texts_of(tables)
-    counts = counts if counts is not None else word_counts(texts)
+    context = counts.sparkSession.sparkContext
     suspect, titles = suspect_words(counts), known_hashes(counts, "title", TITLE_IN)
+    shared = context.broadcast(known if known is not None else np.empty(0, np.int64))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_suspect = KnownHashes(suspect.value)
-        titles_known = KnownHashes(titles.value)
-        reader = Reader(lambda key: titles_known.has(hash64(key.encode())))
-
-        def suspects(tokens: list[str], at: list[int] | None, joined: set[str], out: list[tuple], src: str, item: str) -> None:
-            """Words that may be wrong; ``joined`` has those put together here, which may not be counted; ``at`` has the words' lines, if not all are in line 1."""
-            if not tokens:
-                return
-            low = " ".join(tokens).lower().split(" ")
-            hits = is_suspect(low)
-            if joined:
-                hits |= np.fromiter(map(joined.__contains__, low), bool, len(low))
-            for i in np.flatnonzero(hits).tolist():
-                word = low[i]
-                if len(word) > 2 and (word.isalpha() or sum(map(str.isalpha, word)) > 1):
-                    out.append((src, item, at[i] if at else 1, "glyph", tokens[i], low[i - 1] if i else None, low[i + 1] if i + 1 < len(low) else None))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value, suspect.value)
+        find, measure = Finder(words, KnownHashes(titles.value)), Measure(words, kind_only=True)
         for batch in batches:
-            out: list[tuple] = []
-            for src, item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = text.split("\n")
-                if len(lines) == 1:
-                    heads = [m for m in (_CAPITALS.finditer(text) if _CAPITAL_RUN.search(text) else ()) if (k := title_key(m[0])) and reader.titles(k)]
-                    if heads:
-                        out.append((src, item, 1, "header", *[None] * 3))
-                    rest = text
-                    for m in reversed(heads):
-                        rest = rest[: m.start()] + " " + rest[m.end() :]
-                    if any(sign in rest for sign in (" - ", " — ", " – ", "( ", "[Pg", "[pg", "page ", "Page ", "PAGE ", "a g e ")) and _PAGENO_INLINE.search(rest):
-                        out.append((src, item, 1, "pageno", *[None] * 3))
-                        rest = _PAGENO_INLINE.sub(" ", rest)
-                    if any(c in rest for c in _HYPHENS) and _CUT_INLINE.search(rest):
-                        out.append((src, item, 1, "hyphen", *[None] * 3))
-                        parted = set(words_of(rest.lower()))
-                        rest = _CUT_INLINE.sub("", rest)
-                        suspects(words_of(rest), None, set(words_of(rest.lower())) - parted, out, src, item)
-                    else:
-                        suspects(words_of(rest), None, set(), out, src, item)
-                    continue
-                kinds = reader.kinds(lines)
-                out += [(src, item, i, k, *[None] * 3) for i, k in enumerate(kinds, 1) if k in ("header", "pageno")]
-                running = [i for i, k in enumerate(kinds) if k == "text"]
-                tokens: list[tuple[int, str]] = []
-                joined: str | None = None
-                wholes: set[str] = set()
-                for at, i in enumerate(running):
-                    words = words_of(lines[i])
-                    if joined is not None and words:  # the word began on the line before
-                        whole = joined + words[0]
-                        tokens.append((running[at - 1] + 1, whole))
-                        wholes.add(whole.lower())
-                        words = words[1:]
-                    joined = None
-                    cut = _CUT.search(lines[i])
-                    if cut and at + 1 < len(running) and re.match(r"\s*[^\W\d_]", lines[running[at + 1]]):
-                        out.append((src, item, i + 1, "hyphen", *[None] * 3))
-                        joined, words = (words[-1], words[:-1]) if words else (None, words)
-                    tokens += [(i + 1, w) for w in words]
-                suspects([w for _, w in tokens], [i for i, _ in tokens], wholes, out, src, item)
-            cols = list(zip(*out)) or [()] * 7
-            types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["src", "item_id", "line_no", "kind", "word", "before", "after"])
-
-    seen = materialize(texts.mapInArrow(look, "src string, item_id string, line_no int, kind string, word string, before string, after string"), "seen")
+            at, out, told = [], [], []
+            for i, (src, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                own = terms(text)
+                bits = words.bits(own)
+                found = find(text, own, bits)
+                if src == measured:
+                    found.append((None, "text", None, None, None))
+                    told += [measure.NOTHING] * (len(found) - 1) + [measure(text, own, bits)]
+                else:
+                    told += [measure.NOTHING] * len(found)
+                at += [i] * len(found)
+                out += found
+            cols, more = list(zip(*out)) or [()] * 5, list(zip(*told)) or [()] * len(NAMES)
+            at = pa.array(at, pa.int64())
+            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:]), *(pa.array(c, k) for c, k in zip(more, KINDS))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["src", "item_id", "line_no", "kind", "word", "before", "after", *NAMES])
+
+    found = texts_of(tables).mapInArrow(run, f"src string, item_id string, line_no int, kind string, word string, before string, after string, {SCHEMA}")
+    return materialize(found, "seen")
+
+
+def find_noise(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """(src, item_id, line_no, kind, wrong, right) of the noise in texts.
+
+    ``tables`` has, for each table, its name, rows, id and text column. Lines are counted from 1
+    and end at ``\\n``; kinds are ``header``, ``pageno``, ``hyphen`` and ``glyph``; ``wrong`` and
+    ``right`` are the forms of a word with wrong glyphs. In a text without line breaks every finding
+    has line_no 1, and ``wrong`` is the title or page number. Null texts have none; repeated rows of
+    an id count once; titles and words are counted over all texts, or by ``counts``, made by
+    :func:`word_counts`; ``seen`` is what :func:`look` gives.
+    """
+    counts = counts if counts is not None else word_counts(texts_of(tables))
+    seen = (seen if seen is not None else look(tables, counts)).where("kind <> 'text'").select("src", "item_id", "line_no", "kind", "word", "before", "after")
     seen = seen.distinct()
     low = F.lower("word")
     known = counts.where("kind = 'word'").select(F.col("key").alias("low"), "n")
@@ -279,39 +333,51 @@ def find_noise(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame
     glyph = glyph.where(odd | (F.col("support") >= 2))
     best = Window.partitionBy("src", "item_id", "line_no", "wrong").orderBy(F.desc("support"), F.desc("form_n"), "right")
     glyph = glyph.withColumn("place", F.row_number().over(best)).where("place = 1")
-    none = F.lit(None).cast("string")
-    plain = seen.where("kind in ('header', 'pageno', 'hyphen')").select("src", "item_id", "line_no", "kind", none.alias("wrong"), none.alias("right"))
+    plain = seen.where("kind in ('header', 'pageno', 'hyphen')").select("src", "item_id", "line_no", "kind", F.col("word").alias("wrong"), F.lit(None).cast("string").alias("right"))
     return plain.unionByName(glyph.select("src", "item_id", "line_no", F.lit("glyph").alias("kind"), "wrong", "right"))
 
 
-def repair(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None) -> DataFrame:
+def repair(tables: list[tuple[str, DataFrame, str, str]], counts: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """(src, item_id, paragraph_no, paragraph): the texts as continuous paragraphs.
 
     Running titles, page numbers and the extractor's page marks are dropped, cut words joined and
-    wrong forms replaced. A paragraph ends at a blank line or a heading. In a text without line
-    breaks cut words and wrong forms are mended and marked page numbers dropped. Null and blank
-    texts have no paragraph.
+    wrong forms replaced, in the case of the word. A paragraph ends at a blank line or a heading; a
+    text without line breaks is one paragraph. Null and blank texts have none. ``counts`` and
+    ``seen`` as for :func:`find_noise`.
     """
-    noise = materialize(find_noise(tables, counts), "noise")
-    texts = texts_of(tables).distinct()
-    by_line = noise.groupBy("src", "item_id", "line_no").agg(F.collect_set("kind").alias("kinds"), F.collect_list(F.when(F.col("kind") == "glyph", F.struct("wrong", "right"))).alias("words"))
-    lines = texts.select("src", "item_id", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
-    lines = lines.join(by_line, ["src", "item_id", "line_no"], "left")
+    noise = materialize(find_noise(tables, counts, seen), "noise")
+    key = ["src", "item_id"]
+    pair = F.struct("wrong", "right")
+    by_line = noise.groupBy(*key, "line_no").agg(
+        F.collect_set("kind").alias("kinds"), F.collect_set(F.when(F.col("kind") == "glyph", pair)).alias("words"),
+        F.collect_set(F.when(F.col("kind").isin("header", "pageno"), F.col("wrong"))).alias("dropped"),
+    )
+    split = F.split("text", "\n")
+    lines = each_once(texts_of(tables)).select(*key, F.size(split).alias("n"), F.posexplode(split).alias("i", "line")).withColumn("line_no", F.col("i") + 1).join(by_line, [*key, "line_no"], "left")
     has = lambda k: F.coalesce(F.array_contains("kinds", k), F.lit(False))
     one = F.col("n") == 1
-    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = lines.withColumn("line", F.when(one & has("hyphen"), F.regexp_replace("line", rf"(\p{{L}})[{_HYPHENS}]\s+(?=\p{{L}})", "$1")).otherwise(F.col("line")))
-    lines = lines.withColumn("line", F.when(one & has("pageno"), F.regexp_replace("line", r"(?i)\bp ?a ?g ?e \|? ?\d{1,4}(?: of \d{1,4})?|\[pg\. ?\d{1,4}\]|(?<=\s)[-—–] \d{1,4} [-—–](?=\s|$)|\( \d{1,4} \)", " ")).otherwise(F.col("line")))
-    fixed = F.aggregate(F.coalesce("words", F.array().cast("array<struct<wrong:string,right:string>>")), bare, lambda text, w: F.regexp_replace(text, F.concat(F.lit(r"\b"), w["wrong"], F.lit(r"\b")), w["right"]))
-    lines = lines.where(~(~one & (has("header") | has("pageno"))) & ~bare.rlike(r"^--- Page \d+ ---$")).withColumn("line", fixed)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    # longest first: a page number may begin another
+    longest = F.array_sort(F.coalesce("dropped", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a))
+    line = F.aggregate(longest, F.col("line"), lambda text, w: F.replace(text, w, F.lit(" ")))
+    line = F.when(one & has("hyphen"), F.regexp_replace(line, rf"(\p{{L}})[{_HYPHENS}]\s+(?=\p{{L}})", "$1")).otherwise(line)
+    lines = lines.where(~(~one & (has("header") | has("pageno")))).withColumn("line", bare(line)).where(~F.col("line").rlike(r"^--- Page \d+ ---$"))
     lines = lines.withColumn("heading", F.col("line").rlike(r"^(?:CHAPTER|PART|SECTION|SCHEDULE|Chapter|Part|Schedule) [IVXLCDM\d]+\b|^\([ivxlc\d]{1,6}\)$") & (F.length("line") < 60) & ~F.col("line").rlike("[.,;]$"))
-    order = Window.partitionBy("src", "item_id").orderBy("line_no")
+    order = Window.partitionBy(*key).orderBy("line_no")
     before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(True))
     starts = (F.length("line") == 0) | F.col("heading") | before(F.col("heading")) | before(F.length("line") == 0)
     lines = lines.withColumn("starts", starts).withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(order))
     cut = ~one & has("hyphen")
     piece = F.when(cut, F.regexp_replace("line", rf"[{_HYPHENS}]\s*$", "")).otherwise(F.concat("line", F.lit(" ")))
-    lines = lines.where(F.length("line") > 0).groupBy("src", "item_id", "paragraph").agg(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("piece")))).alias("pieces"))
-    joined = lines.withColumn("text", F.btrim(F.array_join(F.col("pieces.piece"), "")))
-    number = F.row_number().over(Window.partitionBy("src", "item_id").orderBy("paragraph"))
-    return joined.select("src", "item_id", number.alias("paragraph_no"), F.col("text").alias("paragraph"))
+    lines = lines.where(F.length("line") > 0).groupBy(*key, "paragraph").agg(F.sort_array(F.collect_list(F.struct("line_no", piece.alias("piece")))).alias("pieces"), F.flatten(F.collect_list("words")).alias("words"))
+    # a word may be cut: wrong forms are replaced in the joined text
+    joined = F.btrim(F.array_join(F.col("pieces.piece"), ""))
+
+    def mend(text: Column, w: Column) -> Column:
+        capital = F.left(w["wrong"], F.lit(1)).rlike("[A-Z]")
+        right = F.when(w["wrong"].rlike("^[^a-zã]*[A-Z][^a-zã]*$"), F.upper(w["right"])).when(capital, F.concat(F.upper(F.left(w["right"], F.lit(1))), F.substring(w["right"], 2, 1_000))).otherwise(w["right"])
+        return F.regexp_replace(text, F.concat(F.lit("(?<![A-Za-zã0-9])"), w["wrong"], F.lit("(?![A-Za-zã0-9])")), right)
+
+    lines = lines.withColumn("text", F.aggregate(F.filter("words", lambda w: w.isNotNull()), joined, mend))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("paragraph"))
+    return lines.where(F.length("text") > 0).select(*key, number.alias("paragraph_no"), F.col("text").alias("paragraph"))

@@ -12,20 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .terms import KnownHashes, TermHashes, terms
+from .terms import KnownHashes, TermHashes, hash64, terms
 
 #: A word is known if at least this many texts have it (a lower bound for small corpora).
 KNOWN_IN = 5
 #: Robust z-scores beyond which a statistic is in the tail.
 TAIL = 4.0
+#: Words from which on a text without marks of its form is judged, and the share of function words under which it is no language.
+ENOUGH, SPARSE = 12, 0.03
 #: Statistics for which sketches are built.
-STATISTICS = ("common_share", "known_share", "symbol_ratio", "digit_share", "mean_word_length", "stop_line_share", "distinct_share")
+STATISTICS = ("common_share", "known_share", "symbol_ratio", "cell_share", "label_share", "bullet_share", "digit_share", "mean_word_length", "stop_line_share", "distinct_share")
+#: How many of them, from the first, bear on the kind of a text.
+FOR_KIND = 6
 
 # Frequent English function words.
 COMMON = frozenset(
@@ -34,10 +36,13 @@ COMMON = frozenset(
     "their them then there these they this those through to towards under unless until up upon was we were what when where whether which while who whom with within without would you".split()
 )
 
-_BULLET = regex.compile(r"(?:^|(?<=\s))(?:[-*•‣▪–]|\(?(?:\d{1,3}|[a-z]|[ivxl]{1,5})[.)])(?=\s)")
-_LABEL = regex.compile(r"(?:^|(?<=[\s;|]))[\p{L}][\p{L}.]*(?: [\p{L}.]+){0,3}\s?:(?=\s?\S)")
-_CELL = regex.compile(r"^(?:[-–—]+|nil|n/a|[₹$]?[\d.,/:%-]*\d[\d.,/:%-]*)$", regex.I)
-_CELL_ENDS = regex.compile(r"\s*(?:\t|\||,(?=\S)|\.{3,}|\s)\s*")
+#: A word that marks an item: a sign, or a number, letter or roman number with a stop or bracket.
+_BULLET = re.compile(r"[-*•‣▪–]|\(?(?:\d{1,3}|[a-z]|[ivxl]{1,5})[.)]")
+#: What stands before a colon if it is a label: up to four words.
+_LABEL = re.compile(r"(?:^|[\s;|])[^\W\d_][^\W\d_.]*(?: (?:[^\W\d_]|\.)+){0,3}\s?$")
+_CELL = re.compile(r"[-–—]+|nil|n/a|[₹$]?[\d.,/:%-]*\d[\d.,/:%-]*", re.I)
+_CELL_ENDS = re.compile(r"\|+|,(?=\S)|\.{3,}")
+_INNER_END = re.compile(r"\||,\S|\.{3}")
 
 
 def language(text: str) -> str:
@@ -57,24 +62,97 @@ _DIGIT_WORD = re.compile(r"\d\S*")
 _LINE_STOP = re.compile(r"[.?!;।\"”)][^\S\n]*(?=\n|\Z)")
 _LINE = re.compile(r"[^\s][^\n]*")
 
-def shape(text: str, known_share: float, symbol_ratio: float) -> tuple[int, int, float, int, float]:
-    """(bullets, labels, share of table cells, longest count 1, 2, 3 ..., words per line)."""
-    cells = [c for c in _CELL_ENDS.split(text) if c]
-    values = sum(1 for c in cells if _CELL.match(c))
-    run = 1
-    for c in cells:
-        run += c.strip("().") == str(run)
-    return len(_BULLET.findall(text)), len(_LABEL.findall(text)), values / max(1, len(cells)), run - 1, len(text.split()) / max(1, text.count("\n") + 1)
 
+class Words(dict):
+    """What each term counts for, as bits: 1 for more than two characters that are not all digits, 2 if such a term is known, 4 if it is common, 8 if it is suspect, 16 times its length."""
+
+    def __init__(self, known: np.ndarray, suspect: np.ndarray | None = None, limit: int = 1_000_000):
+        super().__init__()
+        self.known, self.suspect, self.limit = KnownHashes(known), KnownHashes(suspect) if suspect is not None else None, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value, solid = hash64(word.encode("utf-8", "surrogatepass")), len(word) > 2 and not word.isdigit()
+        suspect = self.suspect is not None and self.suspect.has(value)
+        self[word] = bits = solid + 2 * (solid and self.known.has(value)) + 4 * (word in COMMON) + 8 * suspect + 16 * len(word)
+        return bits
+
+    def bits(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, kind_only: bool = False) -> DataFrame:
-    """One row per row of the table: id, given count, language, words and the STATISTICS; nulls for a null text.
 
-    With ``kind_only`` the statistics that do not bear on the kind are null.
-    ``table`` has the sorted hashes of the known words, if they are counted already.
+class Cells(dict):
+    """What each word is in a row of values, as bits: 1 for an item's mark, 2 if it holds numbers, 4 times its cells, 2^14 times those that are values.
+
+    ``numbers`` has the numbers of the words that hold any.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(count_col).cast("long").alias("given"))
+
+    def __init__(self, limit: int = 1_000_000):
+        super().__init__()
+        self.numbers, self.limit = {}, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+            self.numbers.clear()
+        cells = [c for c in _CELL_ENDS.split(word) if c] if _INNER_END.search(word) else [word]
+        bare = [c.strip("().") for c in cells]
+        numbers = [int(c) for c in bare if c.isascii() and c.isdigit() and c[0] != "0" and len(c) < 7]
+        if numbers:
+            self.numbers[word] = numbers
+        values = sum(1 for c in cells if _CELL.fullmatch(c))
+        self[word] = bits = bool(_BULLET.fullmatch(word)) + 2 * bool(numbers) + 4 * min(len(cells), 1023) + (min(values, 1023) << 14)
+        return bits
+
+
+def shape(text: str, words: list[str], cells: Cells) -> tuple[int, int, float, int]:
+    """(items' marks, labels, share of cells that are values, longest count 1, 2, 3 ...)."""
+    bits = np.fromiter(map(cells.__getitem__, words), np.int64, len(words))
+    bullets = int(np.count_nonzero(bits & 1)) - bool(len(bits) and bits[-1] & 1 and not text[-1].isspace())
+    run = 1
+    for i in np.flatnonzero(bits & 2).tolist():
+        for n in cells.numbers[words[i]]:
+            run += n == run
+    labels, at = 0, text.find(":")
+    while at >= 0:
+        follows = text[at + 1 : at + 3].lstrip()
+        labels += bool(follows and _LABEL.search(text, max(0, at - 80), at))
+        at = text.find(":", at + 1)
+    return bullets, labels, int((bits >> 14).sum()) / max(1, int((bits >> 2 & 1023).sum())), run - 1
+
+
+NAMES = ("language", "words", *STATISTICS, "bullets", "labels", "counted")
+#: The types of what :class:`Measure` gives, in Arrow and in Spark.
+KINDS = (pa.string(), pa.int64(), *[pa.float64()] * len(STATISTICS), *[pa.int32()] * 3)
+SCHEMA = "language string, words long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", bullets int, labels int, counted int"
+
+
+class Measure:
+    """The statistics of a text, in the order of NAMES. With ``kind_only`` those that do not bear on the kind are null."""
+
+    NOTHING = (None,) * len(NAMES)
+
+    def __init__(self, words: Words, kind_only: bool = False):
+        self.words, self.cells, self.kind_only = words, Cells(), kind_only
+
+    def __call__(self, text: str, own: list[str], bits: np.ndarray) -> tuple:
+        """``own`` are the terms of the text, ``bits`` what ``words`` has for them."""
+        words, solid = text.split(), (bits & 1).astype(bool)
+        length, in_words, n, letters = bits >> 4, sum(map(len, words)), max(1, len(words)), np.count_nonzero(solid)
+        lang = "en" if int(length[solid].sum()) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
+        bullets, labels, cell_share, counted = shape(text, words, self.cells)
+        rest = (None,) * (len(STATISTICS) - FOR_KIND)
+        if not self.kind_only:
+            rest = len(_DIGIT_WORD.findall(text)) / n, in_words / n, len(_LINE_STOP.findall(text)) / max(1, len(_LINE.findall(text))), len(set(own)) / max(1, len(own))
+        return (
+            lang, len(words), np.count_nonzero(bits & 4) / n, np.count_nonzero(bits & 2) / letters if letters else 0.0, max(0, in_words - int(length.sum())) / max(1, len(text)),
+            cell_share, labels / n, bullets / n, *rest, bullets, labels, counted,
+        )
+
+
+def known_words(texts: DataFrame, column: str = "text") -> np.ndarray:
+    """The sorted hashes of the terms of at least KNOWN_IN texts, counted over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHashes()
@@ -83,93 +161,77 @@ def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "tex
             own, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    if table is None:
-        counts = rows.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-        table = spark.sparkContext.broadcast(KnownHashes.collect(counts.where(F.col("n") >= KNOWN_IN)))
+    counts = texts.select(column).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return KnownHashes.collect(counts.where(F.col("n") >= KNOWN_IN))
+
+
+def statistics(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", kind_only: bool = False) -> DataFrame:
+    """One row per row of the table: id, given count and the statistics of :class:`Measure`; nulls for a null text."""
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(count_col).cast("long").alias("given"))
+    table = rows.sparkSession.sparkContext.broadcast(known_words(rows))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = KnownHashes(table.value)
+        words = Words(table.value)
+        one = Measure(words, kind_only)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                if text is None:
-                    out.append((None,) * 14)
-                    continue
-                words, own = text.split(), terms(text)
-                letters = [w for w in own if len(w) > 2 and not w.isdigit()]
-                known = float(known_words(letters).mean()) if letters else 0.0
-                n, solid, letters_in = max(1, len(words)), len("".join(words)), sum(map(len, own))
-                lang = "en" if sum(map(len, letters)) * 2 >= len(text) and text.replace("\u20b9", "").isascii() else language(text)
-                symbols = max(0, solid - letters_in) / max(1, len(text))
-                common = sum(map(COMMON.__contains__, own)) / n
-                rest = (None,) * 4
-                if not kind_only:
-                    rest = len(_DIGIT_WORD.findall(text)) / n, solid / n, len(_LINE_STOP.findall(text)) / max(1, len(_LINE.findall(text))), len(set(own)) / max(1, len(own))
-                # the shape is only asked for where it may matter
-                odd = common < 0.28 or symbols > 0.15
-                out.append(
-                    (
-                        lang, len(words), common, known, symbols, *rest,
-                        *(shape(text, known, symbols) if odd else (0, 0, 0.0, 0, 0.0)),
-                    )
-                )
-            cols = list(zip(*out)) or [()] * 14
-            kinds = [pa.string(), pa.int64(), *[pa.float64()] * 7, pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    names = ["id", "given", "language", "words", *STATISTICS, "bullets", "labels", "cell_share", "counted", "line_words"]
-    # statistics in the order they are computed
-    order = ["common_share", "known_share", "symbol_ratio", "digit_share", "mean_word_length", "stop_line_share", "distinct_share"]
-    assert list(STATISTICS) == order
+            texts = batch.column(1).to_pylist()
+            cols = list(zip(*(Measure.NOTHING if t is None else one(t, own := terms(t), words.bits(own)) for t in texts))) or [()] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(cols, KINDS))], names=["id", "given", *NAMES])
+
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, given long, language string, words long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", bullets int, labels int, cell_share double, counted int, line_words double"
-    return rows.select("id", "text", "given").mapInArrow(measure, schema)
+    return rows.select("id", "text", "given").mapInArrow(measure, f"id {kind}, given long, {SCHEMA}")
 
 
-def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", table: Broadcast | None = None, kind_only: bool = False) -> DataFrame:
-    """The statistics with, for each, its percentile ``p_`` (a share of 21 quantiles) and robust z-score ``z_`` in the language, and ``kind``.
+def judge(told: DataFrame, kind_only: bool = False) -> DataFrame:
+    """The rows of a table of statistics with, for each, its percentile ``p_`` (a share of 21 quantiles) and robust z-score ``z_`` in the language, and ``kind``.
 
-    ``kind`` is ``list``, ``table``, ``junk`` or null (prose, or too little text to tell);
-    ``bad_count`` tells whether the given count is null or wrong, and is null for a null text. Of a
-    null text everything else is null too. Repeated rows are judged each; other columns are not
-    read. The median absolute deviation is estimated by half the spread of the quartiles.
+    A text in no language is judged against all texts. The median absolute deviation is estimated
+    by half the spread of the quartiles. Beside the tails of the distributions the kinds rest on
+    what the words mean: a table has mostly values, junk mostly unknown words or hardly a function
+    word, a list at least two items or too few function words for prose.
     """
-    told = materialize(statistics(rows, id_col, text_col, count_col, table, kind_only), "statistics")
-    asked = STATISTICS[:3] if kind_only else STATISTICS
-    sketches = told.where("words >= 20").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in asked))
-    for s in asked:
-        ranks = F.array(*(F.lit(i / 20) for i in range(21)))
-        sketches = sketches.withColumn(f"twentieths_{s}", F.kll_sketch_get_quantile_double(f"sketch_{s}", ranks))
+    asked = STATISTICS[:FOR_KIND] if kind_only else STATISTICS
+    sketches = told.where("words >= 20").rollup("language").agg(F.grouping("language").alias("all"), *(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in asked))
+    sketches = sketches.where("all = 1 or language <> 'und'").withColumn("language", F.when(F.col("all") == 1, "und").otherwise(F.col("language"))).drop("all")
+    ranks = F.array(*(F.lit(i / 20) for i in range(21)))
+    sketches = sketches.select("language", *(F.kll_sketch_get_quantile_double(f"sketch_{s}", ranks).alias(f"twentieths_{s}") for s in asked))
     for s in asked:
         q = F.col(f"twentieths_{s}")
         sketches = sketches.withColumns({f"median_{s}": q[10], f"mad_{s}": F.greatest((q[15] - q[5]) / 2, F.lit(0.01))})
-    sketches = sketches.drop(*(f"sketch_{s}" for s in asked))
+    out = told.join(F.broadcast(sketches), "language", "left")  # a handful of languages
 
     def below(s: str) -> Column:
         return F.size(F.filter(f"twentieths_{s}", lambda q: q < F.col(s))) / 21
 
-    out = told.join(F.broadcast(sketches), "language", "left")  # a handful of languages
     for s in asked:
         out = out.withColumn(f"p_{s}", below(s)).withColumn(f"z_{s}", (F.col(s) - F.col(f"median_{s}")) / (F.col(f"mad_{s}") * 1.4826))
     low = lambda s: F.coalesce(F.col(f"z_{s}") < -TAIL, F.lit(False))
     high = lambda s: F.coalesce(F.col(f"z_{s}") > TAIL, F.lit(False))
-    english = F.col("language").isin("en", "und")
-    terse = english & (low("common_share") | (F.col("language") == "und"))
-    odd = terse | low("known_share") | high("symbol_ratio")
+    counted_words = F.col("language").isin("en", "und")  # languages whose function words are counted
+    terse, enough = counted_words & low("common_share"), F.col("words") >= ENOUGH
+    marked = (high("label_share") & (F.col("labels") >= 2)) | (high("bullet_share") & (F.col("bullets") >= 2))
+    readable = F.col("known_share") >= 0.5
+    table = terse & high("cell_share") & (F.col("cell_share") >= 0.5) & ((readable & enough) | (F.col("counted") >= 3))
+    junk = (low("known_share") & ~readable & (F.col("words") >= 4)) | (terse & enough & (F.col("common_share") < SPARSE) & ~marked)
+    items = ((terse | ~counted_words) & marked) | (terse & enough)
+    kind = F.when(table, "table").when(junk, "junk").when(items, "list")
+    return out.withColumn("kind", F.when(F.col("words").isNotNull(), kind)).drop(*(f"{x}_{s}" for s in asked for x in ("twentieths", "median", "mad")))
+
+
+def judged(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", count_col: str = "word_count", kind_only: bool = False) -> DataFrame:
+    """The statistics of every row, judged (see :func:`judge`), and ``bad_count``.
+
+    ``kind`` is ``list``, ``table``, ``junk`` or null (prose, or too little text to tell);
+    ``bad_count`` tells whether the given count is null or wrong, and is null for a null text. Of a
+    null text everything else is null too. Repeated rows are judged each; other columns are not read.
+    """
+    told = materialize(statistics(rows, id_col, text_col, count_col, kind_only), "statistics")
     words = F.col("words")
-    table_ = (F.col("cell_share") >= 0.5) & (F.col("counted") >= 3) & (F.col("common_share") <= 0.06)
-    labels = (F.col("labels") >= 4) & (words / F.col("labels") <= 8)
-    bullets = (F.col("bullets") >= 3) & (words / F.col("bullets") <= 16)
-    unreadable = (F.col("known_share") < 0.5) | ((F.col("language") == "und") & (F.col("symbol_ratio") > 0.3))
-    junk = (words >= 4) & (unreadable | ((F.col("common_share") < 0.03) & (words >= 12) & ~labels))
-    # what is readable but has too few common words for prose is an enumeration, marked or not
-    items = terse & (labels | bullets | (words >= 12))
-    kind = F.when(table_, "table").when(junk, "junk").when(items, "list")
-    out = out.withColumn("kind", F.when(F.col("words").isNotNull() & odd, kind)).withColumn("bad_count", F.when(words.isNotNull(), F.coalesce(F.col("given") != words, F.lit(True))))
-    return out.drop(*(f"{x}_{s}" for s in asked for x in ("twentieths", "median", "mad"))).withColumnRenamed("id", id_col)
+    bad = F.when(words.isNotNull(), F.coalesce(F.col("given") != words, F.lit(True)))
+    return judge(told, kind_only).withColumn("bad_count", bad).withColumnRenamed("id", id_col)
 
 
 def found(rows: DataFrame) -> DataFrame:
     """(ingest_pos, kind): one row per kind of a text, and one more where its count is wrong."""
     kinds = F.array_compact(F.array("kind", F.when(F.col("bad_count"), "bad_count")))
-    return judged(rows).select("ingest_pos", F.explode(kinds).alias("kind"))
+    return judged(rows, kind_only=True).select("ingest_pos", F.explode(kinds).alias("kind"))

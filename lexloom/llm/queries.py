@@ -41,14 +41,15 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, root: str, operator: Callable[..., DataFrame]) -> DataFrame:
-    """Texts that may be scans: what is a list, a table or junk is left out. Words are counted once for both."""
+    """Texts that may be scans: what is a list, a table or junk is left out. Words are counted once, and texts looked at once, for both."""
     chunks, answers = table(spark, root, "chunks"), table(spark, root, "orchestrator_responses")
     scans = [("chunks", chunks, "ingest_pos", "text"), ("orchestrator_responses", answers, "response_id", "extracted_text")]
     counts = p3_scans.word_counts(p3_scans.texts_of(scans))
     known = p3_scans.known_hashes(counts, "word", p5_quality.KNOWN_IN)
-    odd = p5_quality.judged(chunks, table=known, kind_only=True).where("kind is not null")
-    odd = materialize(odd.select(F.lit("chunks").alias("src"), F.col("ingest_pos").cast("string").alias("item_id")), "odd")
-    return operator(scans, counts).join(odd, ["src", "item_id"], "left_anti")
+    seen = p3_scans.look(scans, counts, "chunks", known.value)
+    told = seen.where("kind = 'text'").select("src", "item_id", *p5_quality.NAMES)
+    odd = p5_quality.judge(told, kind_only=True).where("kind is not null").select("src", "item_id")
+    return operator(scans, counts, seen).join(materialize(odd, "odd"), ["src", "item_id"], "left_anti")
 
 
 @query
