@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_sample
 from .boost import Trees
+from .terms import hash64
 
 #: Documents the trees are trained on, at most.
 SAMPLE = 4_000
+#: Rounds of training, and the probability from which on a candidate without a label gets one for the next.
+ROUNDS, CERTAIN = 3, 0.9
+#: Labelled candidates of a kind that its trees need, at least.
+LEAST = 40
 #: Parts of names that are sent to the executors, at most.
 MAX_REGISTER = 200_000
 
@@ -52,23 +57,33 @@ _ADDRESS = re.compile(
     rf",?{_GAP}(?:(?:Block|Phase|Sector|Wing|Tower|Floor|Ward|BLOCK|PHASE|SECTOR){_GAP}\w{{1,4}},?{_GAP})?(?:{_PLACE}{_GAP}){{1,2}}(?:{_STREET}|{_STREET.upper()})\b"
     rf"(?:,? near [a-z ]+)?(?:,?{_GAP}(?:P\.O\. )?{_PLACE}(?:(?: -)? \d{{3}} ?\d{{3}})?(?!:))?)"
 )
+#: A number before names: near-misses of addresses, mostly dates.
+_AROUND_NUMBER = re.compile(rf"(?<![\w/.-])\d{{1,4}}[A-Z]?(?:[/-]\d{{1,4}}[A-Z]?)?,?{_GAP}(?:{_PLACE}{_GAP}){{0,2}}{_PLACE}(?!\w)")
+_STREET_WORD = re.compile(rf"\b(?:{_STREET}|{_STREET.upper()})\b")
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(TITLES)})\b\.?{_GAP})+", re.I)
+_INITIAL = re.compile(r"\b[A-Z]\.")
+_DOT = re.compile(r" ?\. ?| ?[\[(] ?dot ?[\])] ?", re.I)
 _BEFORE = re.compile(r"[\w@'₹]+|[^\w\s]|\n")
 
-#: Cues for the labels of the sample.
+#: What may begin an e-mail address, and anything around such a sign.
+_AT = re.compile(r"@|[\[(] ?at ?[\])]", re.I)
+_AROUND_AT = re.compile(r"(?<![\w.+-])[\w.+-]*(?: ?@ ?| ?[\[(] ?at ?[\])] ?)[\w%-]+(?:\.[\w-]+)*", re.I)
+
+#: Cues for the labels of the sample, before a candidate: for it and against it.
 _CUE = {
-    "phone": (re.compile(r"\b(?:call|text the receipt to|mobile|ph|phone|tel|contact|answered|फ़ोन|फोन|संपर्क|ഫോൺ)\W*$", re.I), re.compile(r"(?:\b|(?<=₹))(?:number|receipt no\.?|no\.|of|section|act|rs\.?|rupees|₹|pan|uid|aadhaar|passport|card|proof|reads|id)\W*$", re.I)),
-    "id_number": (re.compile(r"\b(?:pan|uid|aadhaar|passport|card(?: no\.?)?|proof|reads|\bid|ഐഡി)\W*$", re.I), re.compile(r"(?:\b|(?<=₹))(?:number|receipt no\.?|filing ref:?|rs\.?|rupees|₹|call|receipt to|mobile|ph|contact|answered)\W*$", re.I)),
-    "address": (re.compile(r"(?:residing at|address:|was at|pasted at|[a-z],)\s*$|(?:^|\n)$", re.I), re.compile(r"(?:survey no\.?|no\.|section|rs\.?)\s*$", re.I)),
+    "phone": (re.compile(r"\b(?:call|mobile|ph|phone|tel|contact|फ़ोन|फोन|संपर्क|ഫോൺ)\W*$", re.I), re.compile(r"(?:\b|(?<=₹))(?:number|receipt no\.?|no\.|of|section|act|rs\.?|rupees|₹|pan|uid|aadhaar|passport|card|id)\W*$", re.I)),
+    "id_number": (re.compile(r"\b(?:pan|uid|aadhaar|passport|card(?: no\.?)?|id|ഐഡി)\W+(?:\w+\W+)?$", re.I), re.compile(r"(?:\b|(?<=₹))(?:number|receipt no\.?|ref:?|rs\.?|rupees|₹|call|mobile|ph|phone|contact)\W*$", re.I)),
+    "address": (re.compile(r"(?:residing at|address:|[a-z],)\s*$|(?:^|\n)$", re.I), re.compile(r"(?:survey no\.?|no\.|section|rs\.?)\s*$", re.I)),
 }
 
 
 #: Digits of other scripts count as digits, one for one.
+_OTHER_DIGITS = re.compile("[०-९൦-൯０-９٠-٩۰-۹]")
 _DIGITS = str.maketrans({chr(zero + d): str(d) for zero in (0x0966, 0x0D66, 0xFF10, 0x0660, 0x06F0) for d in range(10)})
 
 
 def plain_digits(text: str) -> str:
-    return text if text.isascii() else text.translate(_DIGITS)
+    return text.translate(_DIGITS) if not text.isascii() and _OTHER_DIGITS.search(text) else text
 
 
 class Register:
@@ -77,8 +92,10 @@ class Register:
         self.given = Counter(p.lower()[-3:] for p, k in parts if k != "surname")
         self.sur = Counter(p.lower()[-4:] for p, k in parts if k == "surname")
 
-    def known(self, word: str) -> bool:
-        return word.lower() in self.parts
+    def known(self, word: str, half: bool = False) -> bool:
+        """Whether the register has a word; with ``half``, whether the half of it has it that training may see."""
+        word = word.lower()
+        return word in self.parts and not (half and hash64(word.encode()) & 1)
 
     def like(self, word: str) -> float:
         """How often the register has the ending of a word."""
@@ -113,34 +130,51 @@ def propose(text: str) -> list[tuple[int, int, str]]:
                 for part in re.finditer(r"[^\n]+", own):
                     if len(re.findall(r"[A-Za-z]+", part[0])) >= 2:
                         out.append((start + part.start(), start + part.end(), "name"))
-    out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
+    if _AT.search(text):
+        mails = [m.span() for m in _EMAIL.finditer(text)]
+        near = [m.span() for m in _AROUND_AT.finditer(text)]
+        out += [(a, b, "email") for a, b in mails + [n for n in near if all(n[1] <= a or n[0] >= b for a, b in mails)]]
     for m in _PHONE.finditer(text):
         if 10 <= sum(map(str.isdigit, m[0])) <= 14:
             out.append((m.start(), m.end(), "phone"))
     out += [(m.start(), m.end(), "id_number") for m in _ID.finditer(text)]
-    out += [(m.start(), m.end(), "address") for m in _ADDRESS.finditer(text)]
-    return out
+    houses = [m.span() for m in _ADDRESS.finditer(text)]
+    near = [m.span() for m in _AROUND_NUMBER.finditer(text)]
+    return out + [(a, b, "address") for a, b in houses + [n for n in near if all(n[1] <= a or n[0] >= b for a, b in houses)]]
 
 
 def form(s: str) -> str:
     return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", re.sub(r"[Xx*]{4}", "#", s)))
 
 
+class Rate:
+    """Stands for the trees of a kind whose labels are too few or all alike: their smoothed rate, just under a half without any."""
+
+    def __init__(self, labels: list[int]):
+        self.rate = (sum(labels) + 1) / (len(labels) + 2) - 1e-6
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.rate)
+
+
 class Model:
-    """Trees, the log-odds of context words, and a threshold for each kind."""
+    """Trees, the log-odds of context words, and a threshold for each kind; ``untrained`` names the kinds that have a :class:`Rate` instead."""
 
     def __init__(self, register: Register):
-        self.register, self.odds, self.trees, self.cut = register, {}, {}, dict.fromkeys(KINDS, 0.5)
+        self.register, self.odds, self.cut = register, {}, dict.fromkeys(KINDS, 0.5)
+        self.trees: dict[str, Trees | Rate] = {kind: Rate([]) for kind in KINDS}
+        self.untrained = list(KINDS)
 
     def context(self, text: str, start: int, end: int) -> tuple[list[str], list[str]]:
         before = _BEFORE.findall(text[max(0, start - 40) : start])[-3:]
         after = _BEFORE.findall(text[end : end + 30])[:2]
         return ["^"] * (3 - len(before)) + [w.lower() for w in before], [w.lower() for w in after] + ["$"] * (2 - len(after))
 
-    def features(self, text: str, start: int, end: int, kind: str) -> list[float]:
+    def features(self, text: str, start: int, end: int, kind: str, training: bool = False, alone: bool = False) -> list[float]:
+        """In training half of the register is hidden, as it is incomplete: else it would tell the label. ``alone`` hides the context."""
         own = text[start:end]
         before, after = self.context(text, start, end)
-        odds = lambda place, w: self.odds.get((kind, place, w), 0.0)
+        odds = lambda place, w: 0.0 if alone and place != "form" else self.odds.get((kind, place, w), 0.0)
         words = re.findall(r"[^\W\d_]{2,}", own)
         like = [self.register.like(w) for w in words]
         digits = sum(map(str.isdigit, own))
@@ -149,44 +183,71 @@ class Model:
             float(len(own)), float(digits), float(len(words)), float(own.count(",")), float(own.isupper()), float("\n" in own), float(before[-1] in ("\n", "^")), float(after[0] in ("\n", "$", ",")),
         ]
         if kind == "name":
-            out += [float(sum(x > 0 for x in like)) / max(1, len(like)), float(bool(re.search(r"\b[A-Z]\.", own)))]
+            out += [float(sum(x > 0 for x in like)) / max(1, len(like)), float(bool(_INITIAL.search(own))), float(any(self.register.known(w, training) for w in words))]
+        if kind == "address":
+            out += [float(len(_STREET_WORD.findall(own))), float(not own[:1].isdigit())]
+        if kind == "email":
+            local, _, domain = _AT.sub("@", own, count=1).partition("@")
+            labels = _DOT.split(domain)
+            out += [float(len(labels)), float(len(local.strip())), float(sum(map(str.isalpha, labels[-1]))), float(any(map(str.isdigit, labels[-1])))]
         return out
 
     def label(self, text: str, start: int, end: int, kind: str) -> int | None:
         """From clear cues only: 1, 0 or null."""
         own = text[start:end]
-        if kind == "email":
-            return 1
+        if kind == "email":  # by its form: somebody at a domain that ends in letters
+            return int(bool(_EMAIL.fullmatch(own)) and own[-1].isalpha())
         if kind == "name":
             # the register is incomplete: some names count as none here, which the trees outvote
             return int(any(self.register.known(w) for w in re.findall(r"[A-Za-z]{2,}", own)))
         yes, no = _CUE[kind]
         before = text[max(0, start - 30) : start]
-        if kind == "address" and re.match(r"(?:flat|house|door|plot|h\.)", own, re.I):
-            return 1
+        if kind == "address":  # by its form or its context
+            if not _STREET_WORD.search(own):
+                return 0
+            if re.match(r"(?:flat|house|door|plot|h\.)", own, re.I):
+                return 1
         return 0 if no.search(before) else 1 if yes.search(before) else None
 
     def fit(self, texts: list[str]) -> Model:
-        rows = [(i, t, s, e, k, y) for i, t in enumerate(texts) for s, e, k in propose(t) if (y := self.label(t, s, e, k)) is not None]
+        """Trees from the candidates with a label, then again with those of which they are certain, whose contexts they learn so."""
+        rows = [(i, t, *c, self.label(t, *c)) for i, t in enumerate(texts) for c in propose(t)]
+        for _ in range(ROUNDS):
+            self._fit_once([r for r in rows if r[-1] is not None])
+            for kind in KINDS:
+                open_ = [n for n, r in enumerate(rows) if r[4] == kind and r[-1] is None]
+                if open_ and kind not in self.untrained:
+                    p = self.trees[kind].predict(np.array([self.features(*rows[n][1:5]) for n in open_]))
+                    for n, x in zip(open_, p.tolist()):
+                        if not 1 - CERTAIN < x < CERTAIN:
+                            rows[n] = (*rows[n][:5], int(x > 0.5))
+        return self
+
+    def _fit_once(self, rows: list[tuple[int, str, int, int, str, int]]) -> None:
         counts: dict[tuple, list[int]] = {}
-        for i, t, s, e, k, y in rows:
+        for _, t, s, e, k, y in rows:
             before, after = self.context(t, s, e)
             for key in ((k, "b1", before[-1]), (k, "b2", before[-2] + " " + before[-1]), (k, "a1", after[0]), (k, "a2", after[0] + " " + after[1]), (k, "form", form(t[s:e]))):
                 counts.setdefault(key, [0, 0])[y] += 1
         # a context seen in few places tells nothing; without the cap a label would betray itself
         self.odds = {k: float(np.clip(np.log((b + 1) / (a + 1)), -3, 3)) for k, (a, b) in counts.items() if a + b >= 6}
+        self.untrained = []
         for kind in KINDS:
-            own = [(i, self.features(t, s, e, k), y) for i, t, s, e, k, y in rows if k == kind]
-            if len({y for _, _, y in own}) < 2 or len(own) < 40:
+            own = [r for r in rows if r[4] == kind]
+            labels = [r[-1] for r in own]
+            if len(set(labels)) < 2 or len(own) < LEAST:
+                self.trees[kind] = Rate(labels)
+                self.untrained.append(kind)
                 continue
-            x, y, held = np.array([f for _, f, _ in own]), np.array([y for *_, y in own], float), np.array([i % 4 == 0 for i, *_ in own])
+            # each once with its context and once without, as a context may be new
+            x = np.array([self.features(*r[1:5], True, alone) for alone in (False, True) for r in own])
+            y, held = np.array(labels * 2, float), np.array([r[0] % 4 == 0 for r in own] * 2)
             tree = Trees().fit(x[~held], y[~held])
-            p = tree.predict(x[held])
+            p, y = tree.predict(x[held]), y[held]
             marks = np.linspace(0.2, 0.8, 13)
-            right = [2 * ((p >= m) & (y[held] == 1)).sum() / max(1, ((p >= m).sum() + (y[held] == 1).sum())) for m in marks]
-            best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
+            right = np.array([2 * ((p >= m) & (y == 1)).sum() / max(1, ((p >= m).sum() + (y == 1).sum())) for m in marks])
+            best = np.flatnonzero(right >= right.max() - 1e-9)
             self.trees[kind], self.cut[kind] = tree, float(marks[best[np.argmin(np.abs(marks[best] - 0.5))]])
-        return self
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """The chosen spans of each text, by start."""
@@ -194,13 +255,8 @@ class Model:
         score = np.zeros(len(spans))
         for kind in KINDS:
             at = [n for n, x in enumerate(spans) if x[3] == kind]
-            if kind in self.trees and at:
+            if at:
                 score[at] = self.trees[kind].predict(np.array([self.features(texts[spans[n][0]], *spans[n][1:]) for n in at])) - self.cut[kind] + 0.5
-            else:
-                score[at] = 0.9
-        for n, (i, s, e, kind) in enumerate(spans):  # a known part is evidence that the trees do not see
-            if kind == "name" and score[n] >= 0.2 and any(map(self.register.known, re.findall(r"[A-Za-z]{2,}", texts[i][s:e]))):
-                score[n] = max(score[n], 0.5)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         order = sorted((n for n in range(len(spans)) if score[n] >= 0.5), key=lambda n: (spans[n][0], -round(score[n], 1), -(spans[n][2] - spans[n][1]), spans[n][1]))
         for n in order:
