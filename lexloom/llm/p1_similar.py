@@ -3,9 +3,9 @@
 Copies of a vector are collapsed. Each distinct vector is dealt to the cells of its nearest pivots
 (a bounded sample; every vector is dealt). Within a cell each of ``projections`` random directions
 has one sorted array of projections; around a query's own place a window is opened in every array,
-widened by virtual rehashing from one radius to the next, and vectors that fall into at least the
-threshold number of windows are verified. A cell that is too large is cut into blocks, every pair
-of which is a task, so no vector is left out.
+widened by virtual rehashing from one radius to the next until the query has its neighbours, and
+only the vectors that fall into at least the threshold number of windows are verified. A cell that
+is too large is cut into blocks, every pair of which is a task, so no vector is left out.
 """
 
 from __future__ import annotations
@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_sample, materialize
 
-#: Largest number of pivots (sampled vectors that every executor holds).
-MAX_PIVOTS = 16_384
+#: Largest number of pivots (sampled vectors that every executor holds, two bytes a number).
+MAX_PIVOTS = 131_072
+#: Groups of pivots that are looked into for the nearest pivots of a vector.
+GROUPS = 24
 #: Vectors of a cell, from which on it is cut into blocks of this many.
 BLOCK = 4_096
 #: Half width of a window, in radii.
-WIDTH = 0.8
+WIDTH = 1.8
+#: Radii of the windows, as shares of the distance at the least cosine.
+RADII = (0.7, 1.0)
+#: Pairs that are verified at a time.
+PAIRS = 1_024
 
 
 def units(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,51 +65,92 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def threshold(projections: int, sigmas: float = 2.25) -> int:
+class Pivots:
+    """Finds the nearest pivots of unit vectors: pivots are grouped around some of them, and only the nearest groups are looked into."""
+
+    def __init__(self, pivots: np.ndarray, probes: int):
+        self.pivots, self.probes = pivots.astype(np.float32), probes
+        heads = self.pivots[np.linspace(0, len(pivots) - 1, max(1, round(sqrt(len(pivots))))).astype(int)]
+        self.heads, of = heads, np.concatenate([np.argmax(self.pivots[lo : lo + 8192] @ heads.T, axis=1) for lo in range(0, len(pivots), 8192)])
+        self.members = [np.flatnonzero(of == h) for h in range(len(heads))]
+
+    def nearest(self, unit: np.ndarray) -> np.ndarray:
+        """The numbers of the ``probes`` nearest pivots of each vector, in no order; -1 where there are fewer."""
+        x, n = unit.astype(np.float32), min(GROUPS, len(self.heads))
+        groups = np.argpartition(-(x @ self.heads.T), n - 1, axis=1)[:, :n]
+        best, found = np.full((len(x), self.probes), -2, np.float32), np.full((len(x), self.probes), -1, np.int64)
+        for g in np.unique(groups):
+            rows, own = np.flatnonzero((groups == g).any(1)), self.members[g]
+            cos = np.concatenate([best[rows], x[rows] @ self.pivots[own].T], axis=1)
+            which = np.concatenate([found[rows], np.broadcast_to(own, (len(rows), len(own)))], axis=1)
+            keep = np.argpartition(-cos, self.probes - 1, axis=1)[:, : self.probes]
+            best[rows], found[rows] = np.take_along_axis(cos, keep, 1), np.take_along_axis(which, keep, 1)
+        return found
+
+
+def threshold(projections: int, sigmas: float = 1.75) -> int:
     """The collisions that a pair at the radius reaches but for ``sigmas`` standard deviations."""
     p = erf(WIDTH / sqrt(2))
     return max(1, int(projections * p - sigmas * sqrt(projections * p * (1 - p))))
 
 
-def search(index: np.ndarray, index_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, min_cos: float, directions: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(query, neighbour, cosine): the k best of the index for every query, self left out."""
-    m = directions.shape[1]
-    need = threshold(m)
-    places = (index @ directions).astype(np.float32)
-    own = (queries @ directions).astype(np.float32)
-    order = np.argsort(places, axis=0)
-    arrays = np.take_along_axis(places, order, 0)  # one sorted array per direction
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(len(index))[:, None], 0)
-    rank = rank.T.astype(np.uint16 if len(index) < 65535 else np.uint32)
-    far = sqrt(2 - 2 * min_cos)
-    small = index.astype(np.float32)
+class Arrays:
+    """The sorted arrays of a cell's vectors, one for each direction; places are kept in 256ths of an array."""
+
+    def __init__(self, index: np.ndarray, directions: np.ndarray):
+        places = (index @ directions).astype(np.float32)
+        order = np.argsort(places, axis=0)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(places, order, 0).T)
+        rank = np.empty(order.shape, np.int64)
+        np.put_along_axis(rank, order, np.arange(len(index))[:, None], 0)
+        self.n, self.rank = len(index), np.ascontiguousarray((rank * 256 // len(index)).astype(np.uint8).T)
+
+    def collisions(self, own: np.ndarray, half: float) -> np.ndarray:
+        """In how many arrays each vector lies in the window of each query, whose projections are ``own``."""
+        counts, shifted = np.zeros((len(own), self.n), np.uint8), np.empty((len(own), self.n), np.uint8)
+        inside = np.empty((len(own), self.n), bool)
+        for array, rank, place in zip(self.sorted, self.rank, own.T):
+            lo = np.minimum(np.searchsorted(array, place - half) * 256 // self.n, 255)
+            hi = np.maximum(lo, (np.searchsorted(array, place + half) - 1) * 256 // self.n)
+            np.subtract(rank, lo.astype(np.uint8)[:, None], out=shifted)  # unsigned: what is below lo wraps around
+            np.less_equal(shifted, (hi - lo).astype(np.uint8)[:, None], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
+
+def search(index: np.ndarray, index_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, min_cos: float, directions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(queries, neighbours, cosines, pairs verified) for blocks of queries: the k best of the index for each, self left out."""
+    need, far, arrays = threshold(directions.shape[1]), sqrt(2 - 2 * min_cos), Arrays(index, directions)
+    own, small, asked = (queries @ directions).astype(np.float32), index.astype(np.float32), queries.astype(np.float32)
     for at in range(0, len(queries), 256):
         waiting = np.arange(at, min(at + 256, len(queries)))
-        for radius in (far / 2, far):  # virtual rehashing: the windows widen until the neighbours are certain
-            counts = np.zeros((len(waiting), len(index)), np.uint8)
-            for i in range(m):
-                lo = np.searchsorted(arrays[:, i], own[waiting, i] - WIDTH * radius).astype(rank.dtype)[:, None]
-                hi = np.searchsorted(arrays[:, i], own[waiting, i] + WIDTH * radius).astype(rank.dtype)[:, None]
-                counts += (rank[i] - lo) < (hi - lo)  # unsigned: lo <= rank < hi
-            cos = queries[waiting].astype(np.float32) @ small.T
-            floor = 1 - radius * radius / 2
-            near = (counts >= need) & (cos >= floor - 1e-4) & (index_ids != query_ids[waiting][:, None])
-            done = (near.sum(1) >= k) | (radius == far)
-            for r in np.flatnonzero(done & near.any(1)):
-                cols = np.flatnonzero(near[r])
-                if len(cols) > 4 * k:
-                    cut = np.partition(cos[r, cols], -k)[-k]
-                    cols = cols[cos[r, cols] >= cut - 1e-4]
-                exact = np.round(index[cols] @ queries[waiting[r]], 6)
-                for c in sorted(np.flatnonzero(exact >= min_cos), key=lambda c: (-exact[c], index_ids[cols[c]]))[:k]:
-                    yield int(query_ids[waiting[r]]), int(index_ids[cols[c]]), float(exact[c])
-            waiting = waiting[~done]
+        seen = index_ids == query_ids[waiting][:, None]  # verified, or the query itself
+        rows, cols, good = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        verified = 0
+        for radius in RADII:  # virtual rehashing: the windows widen until the neighbours are certain
+            counts = arrays.collisions(own[waiting], WIDTH * radius * far)
+            r, c = np.nonzero((counts >= need) & ~seen[waiting - at])
+            r = waiting[r]
+            seen[r - at, c] = True
+            verified += len(r)
+            cos = np.concatenate([np.empty(0, np.float32), *(np.einsum("ij,ij->i", asked[r[lo : lo + PAIRS]], small[c[lo : lo + PAIRS]]) for lo in range(0, len(r), PAIRS))])
+            near = cos >= min_cos - 1e-4
+            rows, cols, good = [*rows, r[near]], [*cols, c[near]], [*good, cos[near]]
+            certain = np.concatenate(good) >= 1 - (radius * far) ** 2 / 2 - 1e-4
+            waiting = waiting[np.bincount(np.concatenate(rows)[certain] - at, minlength=256)[waiting - at] < k]
             if not len(waiting):
                 break
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        exact = np.round(np.einsum("ij,ij->i", queries[r], index[c]), 6)
+        order = np.lexsort((index_ids[c], -exact, r))
+        order = order[exact[order] >= min_cos]
+        r, c = r[order], c[order]
+        first = np.searchsorted(r, r)  # the place of each query's best
+        keep = np.arange(len(r)) - first < k
+        yield query_ids[r[keep]], index_ids[c[keep]], exact[order][keep], verified
 
 
-def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, min_cos: float = 0.6, probes: int = 5, per_pivot: int = 128, projections: int = 64, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, min_cos: float = 0.6, probes: int = 6, per_pivot: int = 128, projections: int = 64, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(query, neighbour, cosine, rank): for every usable vector its k most similar other vectors.
 
     Cosines are rounded to 6 places, ties go to the smaller id, and only cosines from ``min_cos``
@@ -113,11 +160,10 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
-    first = rows.select("vec").limit(200).collect()
-    sizes = [len(r.vec) for r in first if r.vec]
-    if not sizes:
+    usual = rows.groupBy(F.size("vec").alias("size")).count().where("size > 0").orderBy(F.desc("count"), "size").first()
+    if usual is None:
         return spark.createDataFrame([], "query long, neighbour long, cosine double, rank int")
-    dim = max(set(sizes), key=sizes.count)
+    dim = usual["size"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,23 +180,22 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     n_pivots = int(min(max_pivots, max(probes, count // per_pivot)))
     sample = bounded_sample(reps, "id", count, n_pivots).select("vec").collect()
     good = units(pa.array([r.vec for r in sample], pa.list_(pa.float32())), dim)[2][:n_pivots]
-    shared = spark.sparkContext.broadcast((good.astype(np.float32), np.random.RandomState(7).standard_normal((dim, projections))))
     probes = min(probes, len(good))
+    shared = spark.sparkContext.broadcast((good.astype(np.float16), np.random.RandomState(7).standard_normal((dim, projections))))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-        pivots = shared.value[0]
+        pivots = Pivots(shared.value[0], probes)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 at, _, unit = units(part.column(1), dim)
                 if len(at):
-                    near = np.argpartition(-(unit.astype(np.float32) @ pivots.T), probes - 1, axis=1)[:, :probes]
-                    yield part.column(0).take(pa.array(at)), unit, near
+                    yield part.column(0).take(pa.array(at)), unit, pivots.nearest(unit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value[0]), np.int64)
         for _, _, near in cells(batches):
-            total += np.bincount(near.ravel(), minlength=len(total))
+            total += np.bincount(near[near >= 0], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["cell", "n"])
 
@@ -158,25 +203,26 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     large = {r.cell: ceil(r.n / BLOCK) for r in sizes.where(F.col("n") > BLOCK).collect()}  # at most one row per pivot
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = np.ones(len(shared.value[0]), np.int64)
+        for cell, n in large.items():
+            blocks[cell] = n
         for ids, unit, near in cells(batches):
-            blobs = [v.tobytes() for v in pack(unit)]
-            own = ids.to_pylist()
-            out: list[tuple] = []
-            for i, row in enumerate(near.tolist()):
-                for cell in row:
-                    blocks = large.get(cell, 1)
-                    mine = own[i] * 0x9E3779B1 % (1 << 32) % blocks
-                    out += [(cell, min(mine, b), max(mine, b), mine, own[i], blobs[i]) for b in range(blocks)]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["cell", "i", "j", "mine", "id", "vec"])
+            row, probe = np.nonzero(near >= 0)
+            n = blocks[near[row, probe]]
+            row, cell, n = np.repeat(row, n), np.repeat(near[row, probe], n), np.repeat(n, n)
+            other = np.arange(len(row)) - np.flatnonzero(np.diff(np.stack([row, cell]), axis=1, prepend=-1).any(0))[np.cumsum(np.diff(np.stack([row, cell]), axis=1, prepend=-1).any(0)) - 1]
+            mine = (ids.to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+            vec = pa.array([v.tobytes() for v in pack(unit)], pa.binary()).take(pa.array(row))
+            cols = (cell, np.minimum(mine, other), np.maximum(mine, other), mine)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), ids.take(pa.array(row)), vec], names=["cell", "i", "j", "mine", "id", "vec"])
 
     def within(data: pa.Table) -> pa.Table:
         ids, x = data.column("id").to_numpy(), unpack(data.column("vec").to_pylist())
         i, j, mine = data.column("i")[0].as_py(), data.column("j")[0].as_py(), data.column("mine").to_numpy()
         sides = [(mine >= 0, mine >= 0)] if i == j else [(mine == i, mine == j), (mine == j, mine == i)]
-        found = [f for q, v in sides if q.any() and v.any() for f in search(x[v], ids[v], x[q], ids[q], k, min_cos, shared.value[1])]
-        cols = list(zip(*found)) or [()] * 3
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query", "neighbour", "cosine"])
+        found = [f[:3] for q, v in sides if q.any() and v.any() for f in search(x[v], ids[v], x[q], ids[q], k, min_cos, shared.value[1])]
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0)] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query", "neighbour", "cosine"])
 
     dealt = reps.mapInArrow(deal, "cell int, i int, j int, mine int, id long, vec binary")
     found = dealt.groupBy("cell", "i", "j").applyInArrow(within, "query long, neighbour long, cosine double")
