@@ -175,10 +175,11 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     groups = ids.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(ids.join(groups, "key").select("id", "rep"), "members")
     copies = members.where("id <> rep")
-    reps = rows.join(copies.select("id"), "id", "left_anti")
+    reps = rows.where(F.size("vec") == dim).join(copies.select("id"), "id", "left_anti")
     count = ids.count() - copies.count()
     n_pivots = int(min(max_pivots, max(probes, count // per_pivot)))
-    sample = bounded_sample(reps, "id", count, n_pivots).select("vec").collect()
+    chosen = bounded_sample(ids.select("id").join(copies.select("id"), "id", "left_anti"), "id", count, n_pivots)
+    sample = rows.join(F.broadcast(chosen), "id", "left_semi").select("vec").collect()  # at most n_pivots ids
     good = units(pa.array([r.vec for r in sample], pa.list_(pa.float32())), dim)[2][:n_pivots]
     probes = min(probes, len(good))
     shared = spark.sparkContext.broadcast((good.astype(np.float16), np.random.RandomState(7).standard_normal((dim, projections))))

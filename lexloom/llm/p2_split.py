@@ -45,20 +45,22 @@ def _levels(text: str, starts: list[int]) -> list[list[int]]:
     return [sorted({bisect_left(starts, at) for at in level} - {0, len(starts)}) for level in marks]
 
 
-def _pack(lo: int, hi: int, levels: list[list[int]], budget: int) -> list[tuple[int, int]]:
-    """Spans of at most ``budget`` words that cover lo..hi: children packed, then neighbours merged."""
-    if hi - lo <= budget:
+def _pack(lo: int, hi: int, levels: list[list[int]], budget: int, first: int) -> list[tuple[int, int]]:
+    """Spans of at most ``budget`` words, ``first`` for one that begins the text, that cover lo..hi: children packed, then neighbours merged."""
+    room = lambda at: budget if at else first
+    if hi - lo <= room(lo):
         return [(lo, hi)]
     if not levels:
-        return [(a, min(a + budget, hi)) for a in range(lo, hi, budget)]
+        cuts = [lo, *range(lo + room(lo), hi, budget), hi]
+        return list(zip(cuts, cuts[1:]))
     own = levels[0]
     cuts = [lo, *own[bisect_left(own, lo + 1) : bisect_left(own, hi)], hi]
     if len(cuts) == 2:
-        return _pack(lo, hi, levels[1:], budget)
+        return _pack(lo, hi, levels[1:], budget, first)
     out: list[tuple[int, int]] = []
     for a, b in zip(cuts, cuts[1:]):
-        for span in _pack(a, b, levels[1:], budget):
-            if out and span[1] - out[-1][0] <= budget:
+        for span in _pack(a, b, levels[1:], budget, first):
+            if out and span[1] - out[-1][0] <= room(out[-1][0]):
                 out[-1] = (out[-1][0], span[1])
             else:
                 out.append(span)
@@ -70,8 +72,8 @@ def split_text(text: str, limit: int = 375, overlap: int = 38) -> list[tuple[int
     words = [m.span() for m in _WORD.finditer(text)]
     if len(words) <= limit:
         return [(0, len(text), len(words))]
-    spans = _pack(0, len(words), _levels(text, [a for a, _ in words]), limit - overlap)
-    if spans[0][1] < overlap and len(spans) > 1:  # the second piece must find its overlap
+    spans = _pack(0, len(words), _levels(text, [a for a, _ in words]), limit - overlap, limit)
+    if spans[0][1] < overlap:  # the second piece must find its overlap
         spans[:2] = [(0, spans[1][1])]
     out = []
     for lo, hi in spans:
@@ -80,12 +82,21 @@ def split_text(text: str, limit: int = 375, overlap: int = 38) -> list[tuple[int
     return out
 
 
+def _each_once(rows: DataFrame) -> DataFrame:
+    """The rows of (item_id, text) without repeated ones."""
+    again = rows.groupBy(F.col("item_id").alias("again")).count().where("count > 1").select("again")
+    if again.isEmpty():
+        return rows
+    same = F.col("item_id").eqNullSafe(F.col("again"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").distinct())
+
+
 def split_oversized(rows: DataFrame, id_col: str, text_col: str = "text", limit: int = 375, overlap: int = 38) -> DataFrame:
     """(item_id STRING, piece_no INT from 1, n_pieces, start_at, words, piece) of every non-null text.
 
     Pieces have at most ``limit`` words; each begins with the last ``overlap`` words of the one
     before. Texts that fit, empty ones too, come out unchanged as one piece; null texts give no
-    row. Rows of the same id and text count once. start_at counts code points from 1. Other
+    row. Rows of the same id and text count once; only texts of ids that occur again are shuffled. start_at counts code points from 1. Other
     columns are not read.
     """
     if not 0 <= overlap < limit:
@@ -104,9 +115,9 @@ def split_oversized(rows: DataFrame, id_col: str, text_col: str = "text", limit:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "piece_no", "n_pieces", "start_at", "words", "piece"])
 
-    marked = rows.withColumn("large", large)
-    cut = marked.where("large").select("item_id", "text").distinct().mapInArrow(run, "item_id string, piece_no int, n_pieces int, start_at int, words int, piece string")
-    fit = marked.where("not large").select("item_id", "text").distinct().select("item_id", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(1).alias("start_at"), n_words(F.col("text")).alias("words"), F.col("text").alias("piece"))
+    rows = _each_once(rows)
+    cut = rows.where(large).mapInArrow(run, "item_id string, piece_no int, n_pieces int, start_at int, words int, piece string")
+    fit = rows.where(~large).select("item_id", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(1).alias("start_at"), n_words(F.col("text")).alias("words"), F.col("text").alias("piece"))
     return cut.unionByName(fit)
 
 

@@ -43,10 +43,12 @@ _GOES_ON = re.compile(r"\s*[^\W\d_]")
 _MARK = re.compile(r"^\s*--- Page \d+ ---\s*$")
 _PAGENO = re.compile(r"^(?:[-–—|*•.\[(]\s*)*(?:p\s*a\s*g\s*e\b|pg\b|p\b)?[\s.:|]*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*(?:[-–—|*•.\])]\s*)*$", re.I)
 _CLAUSE = re.compile(r"^(?:\(\d{1,3}\)|\d{1,3}\))\.?$")
-_PAGENO_INLINE = re.compile(r"(?:\bp ?a ?g ?e \|? ?\d{1,4}\b|\bpage \d{1,4}(?: of \d{1,4})?(?![\d,])|\[pg\. ?\d{1,4}\]|(?<!\d\s)(?<=\s)[-—–] \d{1,4} [-—–](?=\s|$)|\( \d{1,4} \))", re.I)
+_PAGENO_INLINE = re.compile(r"(?:\bp ?a ?g ?e \|? ?\d{1,4}\b(?: of \d{1,4}(?![\d,]))?|\[pg\. ?\d{1,4}\]|(?<!\d\s)(?<=\s)[-—–] \d{1,4} [-—–](?=\s|$)|\( \d{1,4} \))", re.I)
 _HEADING = re.compile(r"^\W*(?:chapter|part|section|schedule|article|order|annexure|appendix)\b[\s.:-]*(?:[ivxlc\d]+[a-z]?\b)?", re.I)
 _NUMBERS = re.compile(r"[\[(]?\b\d{1,4}\b[\])]?")
 _CAPITALS = re.compile(r"[A-Z0-9]{2,}(?:[ ,&'—–-]+(?:[A-Z0-9]{2,}|[A-Z]))+")
+#: A title's page number that is left after it.
+_AFTER_TITLE = re.compile(r" \d{1,4}(?!\S)")
 #: A word, possibly with wrong glyphs inside.
 _WORD = re.compile(r"(?:!(?=[a-z]))?[A-Za-zã0-9]+(?:![A-Za-zã0-9]+)*")
 _PLAIN_WORD = re.compile(r"[A-Za-zã0-9]+")
@@ -222,8 +224,9 @@ class Finder:
         heads = [m for m in (_CAPITALS.finditer(text) if _CAPITAL_RUN.search(text) else ()) if (k := title_key(m[0])) and self.reader.titles(k)]
         rest = text
         for m in reversed(heads):
-            out.append((1, "header", m[0], None, None))
-            rest = rest[: m.start()] + " " + rest[m.end() :]
+            end = more.end() if (more := _AFTER_TITLE.match(text, m.end())) else m.end()
+            out.append((1, "header", text[m.start() : end], None, None))
+            rest = rest[: m.start()] + " " + rest[end:]
         if any(map(rest.__contains__, _PAGENO_SIGNS)):
             numbers = [m[0] for m in _PAGENO_INLINE.finditer(rest)]
             if numbers:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .terms import KnownHashes, TermHashes, hash64, terms
+from .terms import KnownHashes, TermHashes, hash64, marks, terms
 
 #: A word is known if at least this many texts have it (a lower bound for small corpora).
 KNOWN_IN = 5
@@ -39,7 +39,8 @@ COMMON = frozenset(
 #: A word that marks an item: a sign, or a number, letter or roman number with a stop or bracket.
 _BULLET = re.compile(r"[-*•‣▪–]|\(?(?:\d{1,3}|[a-z]|[ivxl]{1,5})[.)]")
 #: What stands before a colon if it is a label: up to four words.
-_LABEL = re.compile(r"(?:^|[\s;|])[^\W\d_][^\W\d_.]*(?: (?:[^\W\d_]|\.)+){0,3}\s?$")
+_LETTER = rf"(?:[^\W\d_]|[.{marks()}])"
+_LABEL = re.compile(rf"(?:^|[\s;|])[^\W\d_]{_LETTER}*(?: {_LETTER}+){{0,3}}\s?$")
 _CELL = re.compile(r"[-–—]+|nil|n/a|[₹$]?[\d.,/:%-]*\d[\d.,/:%-]*", re.I)
 _CELL_ENDS = re.compile(r"\|+|,(?=\S)|\.{3,}")
 _INNER_END = re.compile(r"\||,\S|\.{3}")
@@ -191,7 +192,7 @@ def judge(told: DataFrame, kind_only: bool = False) -> DataFrame:
     word, a list at least two items or too few function words for prose.
     """
     asked = STATISTICS[:FOR_KIND] if kind_only else STATISTICS
-    sketches = told.where("words >= 20").rollup("language").agg(F.grouping("language").alias("all"), *(F.kll_sketch_agg_double(s).alias(f"sketch_{s}") for s in asked))
+    sketches = told.where("words >= 20").rollup("language").agg(F.grouping("language").alias("all"), *(F.kll_sketch_agg_double(s, 1000).alias(f"sketch_{s}") for s in asked))
     sketches = sketches.where("all = 1 or language <> 'und'").withColumn("language", F.when(F.col("all") == 1, "und").otherwise(F.col("language"))).drop("all")
     ranks = F.array(*(F.lit(i / 20) for i in range(21)))
     sketches = sketches.select("language", *(F.kll_sketch_get_quantile_double(f"sketch_{s}", ranks).alias(f"twentieths_{s}") for s in asked))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import materialize
+from .tables import bits_for, presence
 from .terms import TermHashes, shingle_hashes, terms
 
 GRAM = 3
@@ -125,12 +127,40 @@ class Index:
         return any(r in same and " ".join(["", *words[i : i + self.run], ""]) in item for i, r in enumerate(runs))
 
 
+def _may_leak(source: DataFrame, items: DataFrame, run: int) -> DataFrame:
+    """The rows (id, text) that have a run of grams, each of which some item has, but for chance."""
+    bits = bits_for(4 * items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0], 27)
+    width = run - GRAM + 1
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHashes()
+        for batch in batches:
+            own = [(shingle_hashes(hashes(terms(t)), GRAM) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["grams"])
+
+    shared = source.sparkSession.sparkContext.broadcast(presence(items.select("text").mapInArrow(grams, "grams binary"), bits))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table, mask = TermHashes(), shared.value, np.int64((1 << bits) - 1)
+        for batch in batches:
+            good = []
+            for text in batch.column(1).to_pylist():
+                slot = (shingle_hashes(hashes(terms(text)), GRAM) >> np.uint64(32)).astype(np.int64) & mask
+                hits = np.concatenate([[0], np.cumsum(table[slot >> 3] >> (7 - (slot & 7)) & 1)])
+                good.append(bool((hits[width:] - hits[:-width] == width).any()))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return source.mapInArrow(keep, source.schema)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", run: int = 13, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, runs INT, share DOUBLE): the document has ``run`` consecutive terms of the item.
 
     Null and short texts on either side match nothing. Items of equal text are all reported; rows
     are distinct if ids are. The items are indexed in blocks of ``max_items``, so what is sent to
-    the executors is bounded; the corpus is read once per block. Other columns are not read.
+    the executors is bounded. If there are several blocks, one pass first drops the documents without
+    a run of grams that items have, by a table of bounded size, and the blocks are searched in the
+    rest. Other columns are not read.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").dropDuplicates(["item"])
@@ -140,6 +170,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, runs int, share double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     source = docs.select(doc_id, text_col).where(F.col(text_col).isNotNull())
+    if blocks > 1:
+        source = materialize(_may_leak(source, items, run), "may_leak")
     found = []
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
@@ -40,6 +40,15 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root, p2_split.split_oversized).select("src", "item_id", "piece_no", "n_pieces", "start_at", "words", "piece")
 
 
+@query
+def p2_cover(spark: SparkSession, root: str) -> DataFrame:
+    """What the pieces of a text say of it: its words and their digest without the overlaps, and whether all pieces fit."""
+    words = F.filter(F.split("piece", f"[{p2_split.SPACE}]+"), lambda w: w != "")
+    own = p2_pieces(spark, root).withColumn("own", F.when(F.col("piece_no") == 1, words).otherwise(F.slice(words, 39, 1_000_000)))
+    whole = own.groupBy("src", "item_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("piece_no", "own")))["own"]).alias("all"), F.max("words").alias("most"), F.max("n_pieces").alias("n_pieces"), F.count("*").alias("n"))
+    return whole.select("src", "item_id", F.size("all").alias("words"), F.md5(F.array_join("all", " ")).alias("digest"), ((F.col("most") <= 375) & (F.col("n") == F.col("n_pieces"))).alias("fits"))
+
+
 def _scans(spark: SparkSession, root: str, operator: Callable[..., DataFrame]) -> DataFrame:
     """Texts that may be scans: what is a list, a table or junk is left out. Words are counted once, and texts looked at once, for both."""
     chunks, answers = table(spark, root, "chunks"), table(spark, root, "orchestrator_responses")
@@ -82,6 +91,13 @@ def p5_statistics(spark: SparkSession, root: str) -> DataFrame:
     return p5_quality.judged(table(spark, root, "chunks"))
 
 
+@query
+def p5_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics that SQL can check over all chunks."""
+    told = p5_statistics(spark, root)
+    return told.select("ingest_pos", "words", "bad_count", *(F.round(s, 9).alias(s) for s in ("common_share", "mean_word_length", "distinct_share")))
+
+
 @query
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_cap.over_cap(table(spark, root, "chunks"), table(spark, root, "chunk_scores")).select(F.col("id").alias("ingest_pos"))
@@ -127,3 +143,21 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
     return p10_personal.redact(table(spark, root, "documents"), table(spark, root, "name_register"))
+
+
+@query
+def p10_restored(spark: SparkSession, root: str) -> DataFrame:
+    """The redacted texts with what was found put back, as a digest: all else must be unchanged."""
+    docs, names = table(spark, root, "documents"), table(spark, root, "name_register")
+    found = p10_personal.find_personal(docs, names).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_at", "length", "kind"))).alias("spans"))
+    both = docs.select("doc_id", "text").join(p10_redacted(spark, root), "doc_id").join(found, "doc_id", "left")
+    width = F.create_map(*(F.lit(x) for kind, mark in p10_personal.PLACEHOLDERS.items() for x in (kind, len(mark))))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("here"), F.lit(1).alias("there"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = span["start_at"] - state["here"]
+        out = F.concat(state["out"], F.substring("redacted", state["there"], gap), F.substring("text", span["start_at"], span["length"]))
+        return F.struct(out.alias("out"), (span["start_at"] + span["length"]).alias("here"), (state["there"] + gap + width[span["kind"]]).alias("there"))
+
+    end = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start_at:int,length:int,kind:string>>")), start, step)
+    return both.select("doc_id", end.alias("end"), "redacted").select("doc_id", F.md5(F.concat("end.out", F.substring("redacted", F.col("end.there"), F.length("redacted")))).alias("digest"))

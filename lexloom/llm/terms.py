@@ -12,7 +12,7 @@ import numpy as np
 _BLANKED = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + b" " * 128
 
 
-def _marks() -> str:
+def marks() -> str:
     """The ranges of all combining marks, as inside a character class."""
     codes = [c for c in (*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"]
     starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
@@ -21,7 +21,7 @@ def _marks() -> str:
 
 
 #: A term is a maximal run of letters, marks and digits of the lower-cased text.
-_TERM = re.compile(rf"[\w{_marks()}]+")
+_TERM = re.compile(rf"[\w{marks()}]+")
 
 
 def ascii_words(text: str) -> list[str]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import p1_similar, p4_near, p7_copies
+from lexloom.llm.tables import UPPER, codes
 from lexloom.llm.terms import terms
 
 
@@ -30,6 +31,33 @@ def test_similar_vectors(spark):
     assert p1_similar.nearest(df.where("vec_id >= 900")).count() == 0
 
 
+def test_the_length_of_most_vectors_counts(spark):
+    rng = np.random.RandomState(5)
+    x = rng.randn(20, 8)
+    x[1] = x[0] + 0.01
+    rows = [(i, []) for i in range(400)] + [(400 + i, [1.0, 2.0]) for i in range(10)] + [(500 + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    assert (500, 501) in {(r.query, r.neighbour) for r in p1_similar.nearest(df).collect()}
+
+
+def test_windows_count_collisions():
+    rng = np.random.RandomState(6)
+    x = rng.randn(300, 12)
+    arrays = p1_similar.Arrays(x, np.eye(12)[:, :6])
+    got = arrays.collisions(x[:5, :6].astype(np.float32), 0.5)
+    want = (np.abs(x[None, :, :6] - x[:5, None, :6]) <= 0.5).sum(2)
+    assert (got >= want).all() and (got - want).mean() < 0.2  # places are kept in 256ths: windows may be a little too wide
+
+
+def test_nearest_pivots():
+    rng = np.random.RandomState(7)
+    pivots, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.randn(90, 16), rng.randn(200, 16)))
+    got = p1_similar.Pivots(pivots, 3).nearest(x)
+    want = np.argsort(-(x @ pivots.T), axis=1)[:, :3]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(got, want)]) > 2.9
+    assert (p1_similar.Pivots(pivots[:2], 3).nearest(x) == -1).sum() == 200
+
+
 def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(p1_similar, "BLOCK", 40)
     rng = np.random.RandomState(1)
@@ -81,6 +109,31 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert p4_near.all_pairs(df.limit(0)).count() == 0
 
 
+def test_a_shingle_in_very_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(p4_near, "HOT", 8)
+    rng = random.Random(11)
+    phrase = " ".join(f"common{i}" for i in range(39))
+    texts = [f"{phrase} {' '.join(f'w{rng.randint(0, 3)}' for _ in range(8))}" for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ingest_pos long, text string")
+    assert {(r.a, r.b) for r in p4_near.all_pairs(df).collect()} == _near(texts)
+
+
+def test_counts_do_not_saturate():
+    n = np.array([0, 1, 2, 3, 100, 65_535, 65_536, 10**6, 10**9])
+    upper = UPPER[codes(n)]
+    assert (upper >= n).all() and (upper <= 1.1 * n + 0.1).all() and upper[:3].tolist() == [0, 1, 2]
+
+
+def test_classes_of_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(p4_near, "MEMBERS", 4)
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(i, text.upper() if i % 2 else text) for i in range(30)] + [(99, "own text")], "ingest_pos long, text string")
+    got = [(r.a, r.b) for r in p4_near.all_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    links = {r.pos: (r.rep, r.n_links) for r in p4_near.links(df).collect()}
+    assert links[7] == (0, 0) and links[99] == (99, 0)
+
+
 def test_tree_keeps_every_pair():
     rng = np.random.RandomState(2)
     base = rng.randint(0, 2**31, 150).astype(np.uint32)

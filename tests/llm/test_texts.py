@@ -60,6 +60,25 @@ def test_scans(spark):
     assert p3_scans.find_noise([("t", df.limit(0), "id", "text")]).count() == 0
 
 
+def test_nothing_found_survives_repair(spark):
+    prose = "The learned counsel for the Indian landlord argued that the tribunal should consider the matter under protest and decide it."
+    rows = [(i, prose) for i in range(60)] + [(100 + i, f"TORVALI LAW REPORTS {i}\n{prose}") for i in range(6)]
+    rows += [
+        (200, "The learned !ndian landlord argued that the Tribuna1 should\n- 13 -\nTORVALI LAW REPORTS 4\nconsider the mat-\nter under pro-\nte5t and decide it."),
+        (201, "TORVALI LAW REPORTS 9 The learned coun- sel argued Page 4 of 9 that the tribuna1 should TORVALI LAW REPORTS 10 decide"), (202, "The LEARNED C0UNSEL argued that !t should"),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string")
+    counts = p3_scans.word_counts(p3_scans.texts_of([("t", df, "id", "text")]))
+    found = p3_scans.find_noise([("t", df, "id", "text")], counts).where("item_id >= '200'")
+    assert {(r.item_id, r.kind) for r in found.collect()} >= {("200", k) for k in ("glyph", "pageno", "header", "hyphen")} | {("201", k) for k in ("glyph", "pageno", "header", "hyphen")}
+    mended = p3_scans.repair([("t", df, "id", "text")], counts).where("item_id >= '200'")
+    again = p3_scans.find_noise([("m", mended, "item_id", "paragraph")], counts)
+    assert again.where("kind <> 'glyph' or wrong rlike '[0-9!]'").count() == 0
+    texts = {r.item_id: r.paragraph for r in mended.collect()}
+    assert texts["200"] == "The learned indian landlord argued that the Tribunal should consider the matter under protest and decide it."
+    assert texts["201"].split() == "The learned counsel argued that the tribunal should decide".split() and "LEARNED COUNSEL" in texts["202"]
+
+
 def test_a_wrong_form_of_any_number_of_texts(spark):
     rows = [(i, f"Case {i}: the learned tribunal sat.") for i in range(900)] + [(i, f"Case {i}: the learned tribuna1 sat.") for i in range(1000, 1070)]
     df = spark.createDataFrame(rows * 2, "id int, text string")  # repeated rows count once
@@ -99,6 +118,15 @@ def test_statistics(spark):
     assert p5_quality.judged(df.limit(0)).count() == 0
 
 
+def test_the_shape_of_every_text_is_told(spark):
+    prose = "The tribunal held that the claim of the tenant was not in time and it is for the lessor to show that it was."
+    texts = [f"{prose} {i}" for i in range(40)] + [f"Order: {prose}\n- first item\n- second item 12,500 | 7", "शुल्क: सौ; दिनांक: आज\n- एक\n- दो\n- तीन", "Sl | Amount\n12 | 450.00\n13 | 7,500.00\n14 | 81.25\n15 | 3.00\n16 | 44.10"]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "ingest_pos long, text string, word_count int")
+    got = {r.ingest_pos: r for r in p5_quality.judged(df).collect()}
+    assert (got[40].labels, got[40].bullets) == (1, 2) and got[40].cell_share > 0
+    assert got[41].labels == 2 and got[41].bullets == 3 and got[0].p_common_share is not None
+
+
 def test_caps(spark):
     rng = random.Random(2)
     rows = [(i, None if i % 17 == 0 else "hot" if i % 3 else f"s{i % 40}", rng.choice((None, "a")), 1) for i in range(900)]
@@ -157,6 +185,15 @@ def test_leaks(spark, most):
     assert p9_leaks.find_leaks(df.limit(0), it).count() == 0 and p9_leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_a_kind_without_labels_finds_nothing():
+    register = p10_personal.Register([("Korira", "given")])
+    model = p10_personal.Model(register).fit(["No person here."])
+    assert model.untrained == list(p10_personal.KINDS) and model.find(["Write to a.b@c.example or 5555512345.", None]) == [[], []]
+    texts = [f"Write to k{i}@post.example at once. Interest @{i % 9}% is due." for i in range(80)]
+    model = p10_personal.Model(register).fit(texts)
+    assert "email" not in model.untrained and model.find(["Ask z.q@chambers.example, interest @7% on top."]) == [[(4, 24, "email")]]
+
+
 def test_trees_learn():
     import numpy as np
 
