@@ -59,6 +59,7 @@ _ADDRESS = re.compile(
 )
 #: A number before names: near-misses of addresses, mostly dates.
 _AROUND_NUMBER = re.compile(rf"(?<![\w/.-])\d{{1,4}}[A-Z]?(?:[/-]\d{{1,4}}[A-Z]?)?,?{_GAP}(?:{_PLACE}{_GAP}){{0,2}}{_PLACE}(?!\w)")
+_STREET_WORDS = (*STREETS, *map(str.upper, STREETS))
 _STREET_WORD = re.compile(rf"\b(?:{_STREET}|{_STREET.upper()})\b")
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(TITLES)})\b\.?{_GAP})+", re.I)
 _INITIAL = re.compile(r"\b[A-Z]\.")
@@ -103,11 +104,25 @@ class Register:
         return float(max(self.given.get(w[-3:], 0), self.sur.get(w[-4:], 0)))
 
 
+#: Where a number or a name may begin; these are found far faster than the patterns themselves.
+_NUMBER_STARTS, _PHONE_STARTS, _NAME_STARTS = re.compile(r"\d(?<![\w/.-].)"), re.compile(r"[\d(+](?<![\w/.+-].)"), re.compile(r"[A-Z](?<![\w@.+-].)[A-Za-z.]")
+_ID_STARTS, _HOUSE_STARTS = re.compile(r"[\dA-Zx*](?<![\w/.-].)(?:\d{3}|[A-Z]{0,4}\d|[Xx*]{3}|[A-Z][Xx*])"), re.compile(r"[\dFHDPRSVAUQfhdp](?<![\w/.-].)(?:(?<=\d)|lat|LAT|ouse|OUSE|oor|OOR|lot|LOT|oom|hop|illa|partment|nit|uarters|\.|(?=[N\d ]))")
+
+
+def _matches(starts: re.Pattern, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """As ``pattern.finditer(text)``, tried only where ``starts`` matches."""
+    end = 0
+    for m in starts.finditer(text):
+        if m.start() >= end and (found := pattern.match(text, m.start())):
+            end = found.end()
+            yield found
+
+
 def propose(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all candidates, overlapping."""
     out = []
     text = plain_digits(text)
-    for m in _NAME.finditer(text):
+    for m in _matches(_NAME_STARTS, _NAME, text):
         start, own = m.start(), m[0]
         while True:  # drop titles and words that begin a line or sentence, not a name
             if t := _TITLE.match(own):
@@ -134,12 +149,12 @@ def propose(text: str) -> list[tuple[int, int, str]]:
         mails = [m.span() for m in _EMAIL.finditer(text)]
         near = [m.span() for m in _AROUND_AT.finditer(text)]
         out += [(a, b, "email") for a, b in mails + [n for n in near if all(n[1] <= a or n[0] >= b for a, b in mails)]]
-    for m in _PHONE.finditer(text):
+    for m in _matches(_PHONE_STARTS, _PHONE, text):
         if 10 <= sum(map(str.isdigit, m[0])) <= 14:
             out.append((m.start(), m.end(), "phone"))
-    out += [(m.start(), m.end(), "id_number") for m in _ID.finditer(text)]
-    houses = [m.span() for m in _ADDRESS.finditer(text)]
-    near = [m.span() for m in _AROUND_NUMBER.finditer(text)]
+    out += [(m.start(), m.end(), "id_number") for m in _matches(_ID_STARTS, _ID, text)]
+    houses = [m.span() for m in _matches(_HOUSE_STARTS, _ADDRESS, text)] if any(map(text.__contains__, _STREET_WORDS)) else []
+    near = [m.span() for m in _matches(_NUMBER_STARTS, _AROUND_NUMBER, text)]
     return out + [(a, b, "address") for a, b in houses + [n for n in near if all(n[1] <= a or n[0] >= b for a, b in houses)]]
 
 
