@@ -46,7 +46,7 @@ _CLAUSE = re.compile(r"^(?:\(\d{1,3}\)|\d{1,3}\))\.?$")
 _PAGENO_INLINE = re.compile(r"(?:\bp ?a ?g ?e \|? ?\d{1,4}\b(?: of \d{1,4}(?![\d,]))?|\[pg\. ?\d{1,4}\]|(?<!\d\s)(?<=\s)[-—–] \d{1,4} [-—–](?=\s|$)|\( \d{1,4} \))", re.I)
 _HEADING = re.compile(r"^\W*(?:chapter|part|section|schedule|article|order|annexure|appendix)\b[\s.:-]*(?:[ivxlc\d]+[a-z]?\b)?", re.I)
 _NUMBERS = re.compile(r"[\[(]?\b\d{1,4}\b[\])]?")
-_CAPITALS = re.compile(r"[A-Z0-9]{2,}(?:[ ,&'—–-]+(?:[A-Z0-9]{2,}|[A-Z]))+")
+_CAPITALS = re.compile(r"[A-Z0-9]{2,}(?:[ ,&'—–-]+(?:[A-Z0-9]{2,}|[A-Z])(?![a-z]))+")
 #: A title's page number that is left after it.
 _AFTER_TITLE = re.compile(r" \d{1,4}(?!\S)")
 #: A word, possibly with wrong glyphs inside.

@@ -79,6 +79,13 @@ def test_nothing_found_survives_repair(spark):
     assert texts["201"].split() == "The learned counsel argued that the tribunal should decide".split() and "LEARNED COUNSEL" in texts["202"]
 
 
+def test_a_title_before_a_capital_word(spark):
+    prose = "The learned counsel argued that the tribunal should consider the matter under protest and decide it."
+    rows = [(i, f"TORVALI LAW REPORTS {i}\n{prose}") for i in range(6)] + [(10, f"TORVALI LAW REPORTS - 154 {prose}"), (11, f"TORVALI LAW REPORTS {prose}"), (12, f"UNHEARD OF {prose}")]
+    found = p3_scans.find_noise([("t", spark.createDataFrame(rows, "id int, text string"), "id", "text")])
+    assert {r.item_id for r in found.where("kind = 'header'").collect()} == {*map(str, range(6)), "10", "11"}
+
+
 def test_a_wrong_form_of_any_number_of_texts(spark):
     rows = [(i, f"Case {i}: the learned tribunal sat.") for i in range(900)] + [(i, f"Case {i}: the learned tribuna1 sat.") for i in range(1000, 1070)]
     df = spark.createDataFrame(rows * 2, "id int, text string")  # repeated rows count once
