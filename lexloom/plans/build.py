@@ -29,7 +29,8 @@ def judgment_chunks(judgments: DataFrame, cap: int = 1000, seed: int = 42) -> Da
 
 def prechunked_chunks(rows: DataFrame, order: str, cap: int = 2000, seed: int = 42, min_chars: int = 80) -> DataFrame:
     """At most ``cap`` of the ready-made chunks, in the seeded order of ``order``; those without an id are numbered."""
-    cleaned = rows.withColumn("text", clean_text(F.col("text"))).where(F.length("text") >= min_chars)
+    # as a generator, so that the filter isn't moved before the cleaning and cleans again
+    cleaned = rows.withColumn("text", F.explode(F.array(clean_text(F.col("text"))))).where(F.length("text") >= min_chars)
     taken = curate.running_index(curate.sample(cleaned, order, cap, seed).withColumn("_at", curate.seeded_order(order, seed)), "_at", "_i")
     return taken.select(
         falsy_coalesce(F.col("chunk_id"), F.format_string("sc_%05d", "_i")).alias("chunk_id"), "text", F.coalesce("source", F.lit("Supreme Court of India")).alias("source"),

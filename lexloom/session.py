@@ -39,6 +39,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables made so far; DataFrames that read them can't be used any more. For long sessions."""
+    while _MADE:
+        _remove(spark, _MADE.pop())
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -47,7 +56,9 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom/{os.getpid()}-{uuid.uuid4().hex[:12]}/{name}"
     df.write.mode("overwrite").option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _MADE:
+        atexit.register(release, spark)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
