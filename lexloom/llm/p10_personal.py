@@ -227,18 +227,21 @@ class Model:
     def fit(self, texts: list[str]) -> Model:
         """Trees from the candidates with a label, then again with those of which they are certain, whose contexts they learn so."""
         rows = [(i, t, *c, self.label(t, *c)) for i, t in enumerate(texts) for c in propose(t)]
-        for _ in range(ROUNDS):
-            self._fit_once([r for r in rows if r[-1] is not None])
-            for kind in KINDS:
-                open_ = [n for n, r in enumerate(rows) if r[4] == kind and r[-1] is None]
-                if open_ and kind not in self.untrained:
-                    p = self.trees[kind].predict(np.array([self.features(*rows[n][1:5]) for n in open_]))
-                    for n, x in zip(open_, p.tolist()):
-                        if not 1 - CERTAIN < x < CERTAIN:
-                            rows[n] = (*rows[n][:5], int(x > 0.5))
+        for left in reversed(range(ROUNDS)):
+            doubtful = {k: at for k in KINDS if (at := [n for n, r in enumerate(rows) if r[4] == k and r[-1] is None])}
+            if not left or not doubtful:
+                break
+            # only kinds with candidates that have no label need trees by now
+            self._fit_once([r for r in rows if r[-1] is not None and r[4] in doubtful], tuple(doubtful))
+            for kind in set(doubtful) - set(self.untrained):
+                p = self.trees[kind].predict(np.array([self.features(*rows[n][1:5]) for n in doubtful[kind]]))
+                for n, x in zip(doubtful[kind], p.tolist()):
+                    if not 1 - CERTAIN < x < CERTAIN:
+                        rows[n] = (*rows[n][:5], int(x > 0.5))
+        self._fit_once([r for r in rows if r[-1] is not None])
         return self
 
-    def _fit_once(self, rows: list[tuple[int, str, int, int, str, int]]) -> None:
+    def _fit_once(self, rows: list[tuple[int, str, int, int, str, int]], kinds: tuple[str, ...] = KINDS) -> None:
         counts: dict[tuple, list[int]] = {}
         for _, t, s, e, k, y in rows:
             before, after = self.context(t, s, e)
@@ -247,7 +250,7 @@ class Model:
         # a context seen in few places tells nothing; without the cap a label would betray itself
         self.odds = {k: float(np.clip(np.log((b + 1) / (a + 1)), -3, 3)) for k, (a, b) in counts.items() if a + b >= 6}
         self.untrained = []
-        for kind in KINDS:
+        for kind in kinds:
             own = [r for r in rows if r[4] == kind]
             labels = [r[-1] for r in own]
             if len(set(labels)) < 2 or len(own) < LEAST:
