@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 #: The notice that every answer ends with.
-NOTICE = "Note: this is legal information, not legal advice. Please consult a qualified lawyer about your own case."
+NOTICE = "What you read here informs about the law and is not legal advice; only a lawyer who knows your case can give that."
 #: What the model is told before every prompt.
 SYSTEM = f"""You explain Indian law to people without legal training.
 What you say about the law comes from the passages of the prompt and from nowhere else, and names the passage it comes from. Explain every technical word. Where the passages don't settle a question, tell the reader so. Where someone is in danger or under threat of arrest, first send them to the police or a lawyer. Give information, never an opinion on the outcome, and end with: {NOTICE}"""

@@ -33,27 +33,29 @@ def ranked(hits: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return hits.withColumn("rank", place).where(F.col("rank") <= k).withColumn("score", score(F.col("cosine")))
 
 
-def unit_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors) of the usable lists of numbers: not null, finite, not all zero, of the commonest length."""
-    lengths = np.diff(column.offsets.to_numpy())
-    usual = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
-    at = np.flatnonzero(lengths == usual) if usual else np.empty(0, np.int64)
+def unit_vectors(length: int, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, unit vectors) of the lists of ``length`` finite numbers that are not all zero."""
+    at = np.flatnonzero(np.diff(column.offsets.to_numpy()) == length) if length else np.empty(0, np.int64)
     if not len(at):
-        return at, np.empty((0, 0))
-    x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, usual)
+        return at, np.empty((0, length))
+    x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
     norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
     return at[good], x[good] / norm[good][:, None]
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, query: str, key: str, vec: str = "embedding", k: int = 10, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] = unit_vectors, least: float = -2.0) -> DataFrame:
+def dense_topk(queries: DataFrame, index: DataFrame, query: str, key: str, vec: str = "embedding", k: int = 10, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None, least: float = -2.0) -> DataFrame:
     """(query, key, cosine, score, rank) of the ``k`` nearest rows of the index for every query.
 
     Query vectors are sent out, at most QUERY_BYTES of them for one pass over the index; every task
     multiplies its rows with blocks of them and gives on what may still be among the best, so about
-    tasks x queries x k rows are shuffled. Null and zero vectors and cosines up to ``least`` are left
-    out. ``units`` makes unit vectors of a batch's column.
+    tasks x queries x k rows are shuffled. Left out are null and zero vectors, vectors of another length
+    than most queries have, and cosines up to ``least``. ``units`` makes unit vectors of a batch's
+    column, if they are no lists of numbers.
     """
+    if units is None:
+        usual = queries.groupBy(F.size(vec).alias("length")).count().where("length > 0").orderBy(F.desc("count"), "length").first()
+        units = partial(unit_vectors, usual["length"] if usual else 0)
     schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {index.schema[key].dataType.simpleString()}, cosine double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     parts: list[DataFrame] = []
@@ -94,7 +96,7 @@ def _best(shared: Broadcast, k: int, units: Callable, least: float, arrow: pa.Sc
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 at, x = units(part.column(1))
-                if not len(at) or x.shape[1] != q.shape[1]:
+                if not len(at):
                     continue
                 keys = part.column(0).take(pa.array(at))
                 for a in range(0, len(q), QUERY_BLOCK):

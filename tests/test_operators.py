@@ -16,7 +16,7 @@ def test_dense_topk_against_numpy(spark):
     rng = np.random.RandomState(1)
     x = rng.randn(200, 8)
     x[7] = x[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8)] + [(1000 + i, [1.0, 2.0]) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     got = vector.dense_topk(df.where("id < 20").withColumnRenamed("id", "q"), df, "q", "id", k=4).collect()
     u = x.astype(np.float32).astype(float)
