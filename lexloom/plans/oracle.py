@@ -231,6 +231,7 @@ SELECT response_id, 'document_upload' AS flow, status, CASE WHEN status = 200 TH
     "judgments_union": f"{summ()} UNION ALL {bail(f'(SELECT count(*) FROM ({SUMM}))')}",
     "files_by_kind": r"SELECT name, CASE WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(name), '\.(jpg|jpeg|png|tiff|bmp)$') THEN 'image' ELSE 'unsupported' END AS file_type FROM (SELECT filename || unnest(['', '.PNG', '.tif', '.tiff']) AS name FROM statute_files)",
     "json_array_round_trip": "SELECT filename, source, doc_type FROM statute_files",
+    "dataset_split": "SELECT filename, source, doc_type FROM statute_files",
     "vector_append": "SELECT chunk_id, ingest_pos FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN ingest_pos % 3 = 0 THEN 0 ELSE 1 END, ingest_pos) = 1",
     "vector_truncate": "SELECT count(DISTINCT chunk_id) AS n_before, 0::BIGINT AS n_after FROM chunks",
     "stream_ingest": "SELECT chunk_id, ingest_pos FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingest_pos) = 1",

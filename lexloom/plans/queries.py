@@ -405,6 +405,15 @@ def json_array_round_trip(spark, root):
     return sources.json_array(spark, path, "filename string, source string, doc_type string")
 
 
+@query
+def dataset_split(spark, root):
+    """The statute files as the split ``train`` of a fetched collection that has another split."""
+    path, rows = _fresh(spark, "fetched"), table(spark, root, "statute_files")
+    rows.where("doc_type is null").write.parquet(f"{path}/laws/dev")
+    rows.write.json(f"{path}/laws/train")
+    return sources.dataset(spark, path, "laws").select("filename", "source", "doc_type")
+
+
 @query
 def vector_append(spark, root):
     """Every third chunk appended to a new vector table, then all: each key once, the earlier table first."""

@@ -14,6 +14,21 @@ from ..operators.curate import running_index
 CHUNK_SCHEMA = "chunk_id string, text string, source string, doc_type string, section string, word_count int, court string, source_config string"
 
 
+def dataset(spark: SparkSession, path: str, config: str) -> DataFrame:
+    """A published collection that was fetched into ``path/config/split``, as parquet or JSON lines.
+
+    The split is ``train`` if there is one, else the first by name.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{config}")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    splits = sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())
+    if not splits:
+        raise FileNotFoundError(f"no split in {path}/{config}")
+    split = f"{path}/{config}/{'train' if 'train' in splits else splits[0]}"
+    held = [f.getPath().getName() for f in system.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(split))]
+    return spark.read.format("parquet" if any(n.endswith(".parquet") for n in held) else "json").load(split)
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one JSON array."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -148,6 +148,17 @@ def test_scanned_files(spark, tmp_path):
     assert [sources.deskew_angle(a) for a in (-88.0, -10.0, 0.3, 45.0)] == [2.0, -10.0, 0.0, 45.0]
 
 
+def test_the_split_of_a_collection(spark, tmp_path):
+    for split, n in (("dev", 2), ("test", 3)):
+        spark.range(n).write.parquet(str(tmp_path / "a" / split))
+    assert sources.dataset(spark, str(tmp_path), "a").count() == 2
+    spark.range(5).write.json(str(tmp_path / "a" / "train"))
+    assert sources.dataset(spark, str(tmp_path), "a").count() == 5
+    (tmp_path / "b").mkdir()
+    with pytest.raises(FileNotFoundError):
+        sources.dataset(spark, str(tmp_path), "b")
+
+
 def test_judgments_go_on_counting(spark):
     summ = spark.createDataFrame([(0, None, "a", None, "s"), (1, "x", "b", None, None), (2, None, " ", None, None)], "pos int, id string, document string, text string, summary string")
     bail = spark.createDataFrame([(0, "f", None, None), (1, None, "", "d")], "pos int, facts string, text string, document string")
