@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .p5_quality import KINDS, NAMES, SCHEMA, Measure, Words
-from .terms import KnownHashes, TermHashes, ascii_words, distinct, hash64, shingle_hashes, terms
+from .terms import KnownHashes, TermHashes, as_ascii, ascii_words, distinct, hash64, shingle_hashes, terms
 
 #: A running title stands in at least this many texts.
 TITLE_IN = 4
@@ -91,7 +91,7 @@ def title_key(line: str) -> str | None:
 def words_of(line: str) -> list[str]:
     if "!" in line:
         return _WORD.findall(line)
-    return ascii_words(line) if line.isascii() else _PLAIN_WORD.findall(line)
+    return ascii_words(plain) if (plain := as_ascii(line)) is not None else _PLAIN_WORD.findall(line)
 
 
 class Reader:
@@ -169,7 +169,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 own = words_of(text.lower())
                 pairs.append(distinct(shingle_hashes(hashes(own), 2)))
-                words.update(set(own) if text.isascii() else {*own, *terms(text)})
+                words.update(set(own) if as_ascii(text) is not None else {*own, *terms(text)})
                 if "\n" in text:
                     titles.update({k for line in text.split("\n") if not _LOWER.match(line) and (k := title_key(line))})
                 held += len(pairs[-1])
@@ -214,7 +214,7 @@ class Finder:
     def __call__(self, text: str, own: list[str], bits: np.ndarray) -> list[tuple]:
         """``own`` are the terms of the text, ``bits`` what ``words`` has for them."""
         # in such a text terms and words are the same
-        plain = "!" not in text and (text.isascii() or text.replace("\u20b9", "").isascii())
+        plain = "!" not in text and as_ascii(text) is not None
         clean = plain and not (bits & self.SUSPECT).any()
         lines = text.split("\n")
         return self._in_one_line(text, clean) if len(lines) == 1 else self._in_lines(lines, clean)

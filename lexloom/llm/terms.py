@@ -24,6 +24,21 @@ def marks() -> str:
 _TERM = re.compile(rf"[\w{marks()}]+")
 
 
+#: Frequent signs outside ASCII that are part of no term.
+_SIGNS = "\u20b9\u2014\u2013\u2019\u2018\u201c\u201d\u2026\u2022\u2010\u2011\u00a0\u00ad\u00ac\u00a7\u00b7"
+
+
+def as_ascii(text: str) -> str | None:
+    """The text with frequent signs as blanks if it is ASCII then, else null."""
+    if not text.isascii():
+        for sign in _SIGNS:
+            if sign in text:
+                text = text.replace(sign, " ")
+        if not text.isascii():
+            return None
+    return text
+
+
 def ascii_words(text: str) -> list[str]:
     """The runs of letters and digits of an ASCII text; twice as fast as a regular expression."""
     return text.encode("ascii").translate(_BLANKED).decode("ascii").split()
@@ -33,8 +48,8 @@ def terms(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    if low.isascii() or (low := low.replace("\u20b9", " ")).isascii():
-        return ascii_words(low)
+    if (plain := as_ascii(low)) is not None:
+        return ascii_words(plain)
     return _TERM.findall(low.replace("_", " "))
 
 
