@@ -282,9 +282,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "ingest_pos", text_col: str =
     Rows with the same terms form a class; its smallest id is the representative. Null texts are in
     no class; texts of fewer than ``min_terms`` terms are in no pair. The similarity is the number
     of distinct shingles in both over the number in either. Shingles are 32-bit hashes: the chance
-    of a miscount in a pair is below 1e-5. Ids must be unique; other columns are not read.
+    of a miscount in a pair is below 1e-5. Ids must be unique, rows without one are left out; other
+    columns are not read.
     """
-    rows = rows.select(F.col(id_col).cast("long").alias("pos"), F.col(text_col).alias("text")).where("text is not null")
+    rows = rows.select(F.col(id_col).cast("long").alias("pos"), F.col(text_col).alias("text")).where("pos is not null and text is not null")
     sets = materialize(shingle_sets(rows, shingle, min_terms), "shingles", "none")
     copies = materialize(exact_copies(sets), "copies")
     own = sets.where("shingles is not null").select("pos", "n", "shingles").join(copies.select("pos"), "pos", "left_anti")
@@ -318,6 +319,6 @@ def links(rows: DataFrame, id_col: str = "ingest_pos", text_col: str = "text", s
     pairs, copies = near_duplicates(rows, id_col, text_col, shingle, min_terms, threshold)
     pairs = materialize(pairs, "pairs")
     counts = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("pos"))
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("pos")).where("pos is not null")
     member = texts.join(copies.select("pos", "rep"), "pos", "left").withColumn("rep", F.coalesce("rep", "pos"))
     return member.join(counts, "rep", "left").select("pos", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
