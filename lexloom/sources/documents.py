@@ -94,12 +94,6 @@ def ocr_extractor(rasterise: Callable[[bytes, int], list], read_image: Callable[
     return load
 
 
-def deskew_angle(angle: float) -> float:
-    """By how many degrees to turn an image whose dark pixels lie in a box at this angle; 0 if less than half a degree."""
-    turn = angle + 90 if angle < -45 else angle
-    return 0.0 if abs(turn) < 0.5 else turn
-
-
 def _read(rows: DataFrame, load: Callable[[], Pages]) -> DataFrame:
     """(path, file_type, pages, success) of binary files; no pages and no success if a file can't be read."""
 

@@ -145,7 +145,6 @@ def test_scanned_files(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r for r in sources.extract_documents(sources.files(spark, str(tmp_path / "in")), load).collect()}
     assert got["a.pdf"].text == "--- Page 1 ---\nONE\n\n--- Page 3 ---\nTWO\nTHREE" and got["b.png"].text == "X\nY"
     assert {k: r.success for k, r in got.items()} == {"a.pdf": True, "b.png": True, "c.jpg": False, "d.tif": False}
-    assert [sources.deskew_angle(a) for a in (-88.0, -10.0, 0.3, 45.0)] == [2.0, -10.0, 0.0, 45.0]
 
 
 def test_the_split_of_a_collection(spark, tmp_path):
