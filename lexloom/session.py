@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -63,16 +62,6 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets the executors remove the shuffle files of plans that nobody holds any more.
-
-    They stay until the driver's JVM collects its garbage, which a driver with little to do puts off;
-    worth asking for after a step that has shuffled much.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded_sample(rows: DataFrame, key: str, count: int, most: int) -> DataFrame:
     """At most ``most`` of ``count`` rows, by a hash of the key; all if there are no more."""
     if count <= most:
