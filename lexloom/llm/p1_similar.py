@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector, by query-aware collision counting.
 
 Copies of a vector are collapsed. Each distinct vector is dealt to the cells of its nearest pivots
-(a bounded sample; every vector is dealt). Within a cell each of ``projections`` random directions
+(a bounded sample; every vector is dealt), more of them the more pivots there are. Within a cell each of ``projections`` random directions
 has one sorted array of projections; around a query's own place a window is opened in every array,
 widened by virtual rehashing from one radius to the next until the query has its neighbours, and
 only the vectors that fall into at least the threshold number of windows are verified. A cell that
@@ -55,13 +55,28 @@ def units(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray, np
     return at[good], raw[good], raw[good].astype(np.float64) / norm[good][:, None]
 
 
-def pack(unit: np.ndarray) -> np.ndarray:
-    """Unit vectors as 16-bit integers, each with its own scale; cosines keep about five places."""
-    return np.round(unit * (32767 / np.abs(unit).max(1, keepdims=True))).astype(np.int16) if len(unit) else np.zeros((0, 0), np.int16)
+def pack(raw: np.ndarray) -> list[bytes]:
+    """Vectors as 16-bit integers, each with its own scale, low bytes before high bytes.
+
+    Nothing is lost where a power of two makes integers of all numbers, and these are made as small
+    as they can be, for compression; else cosines keep about five places.
+    """
+    if not len(raw):
+        return []
+    raw = raw.astype(np.float64)
+    top = np.abs(raw).max(1, keepdims=True)
+    even = raw * np.exp2(np.floor(np.log2(32767 / top)))
+    whole = (even == np.round(even)).all(1)
+    x = np.where(whole[:, None], even, np.round(raw * (32767 / top))).astype(np.int32)
+    bits = np.bitwise_or.reduce(np.abs(x), axis=1)
+    x = np.where(whole[:, None], x // (bits & -bits)[:, None], x).astype("<i2")
+    return [v.tobytes() for v in np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 2).transpose(0, 2, 1))]
 
 
 def unpack(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.int16).reshape(len(blobs), -1).astype(np.float64)
+    """The unit vectors of what :func:`pack` made."""
+    planes = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 2, -1)
+    x = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i2")[:, :, 0].astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -178,6 +193,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     reps = rows.where(F.size("vec") == dim).join(copies.select("id"), "id", "left_anti")
     count = ids.count() - copies.count()
     n_pivots = int(min(max_pivots, max(probes, count // per_pivot)))
+    probes = max(probes, ceil(probes * (n_pivots / 256) ** 0.25))  # among more pivots, two neighbours have fewer in common
     chosen = bounded_sample(ids.select("id").join(copies.select("id"), "id", "left_anti"), "id", count, n_pivots)
     sample = rows.join(F.broadcast(chosen), "id", "left_semi").select("vec").collect()  # at most n_pivots ids
     good = units(pa.array([r.vec for r in sample], pa.list_(pa.float32())), dim)[2][:n_pivots]
@@ -189,9 +205,9 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                at, _, unit = units(part.column(1), dim)
+                at, raw, unit = units(part.column(1), dim)
                 if len(at):
-                    yield part.column(0).take(pa.array(at)), unit, pivots.nearest(unit)
+                    yield part.column(0).take(pa.array(at)), raw, pivots.nearest(unit)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value[0]), np.int64)
@@ -207,13 +223,13 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         blocks = np.ones(len(shared.value[0]), np.int64)
         for cell, n in large.items():
             blocks[cell] = n
-        for ids, unit, near in cells(batches):
+        for ids, raw, near in cells(batches):
             row, probe = np.nonzero(near >= 0)
             n = blocks[near[row, probe]]
             row, cell, n = np.repeat(row, n), np.repeat(near[row, probe], n), np.repeat(n, n)
             other = np.arange(len(row)) - np.flatnonzero(np.diff(np.stack([row, cell]), axis=1, prepend=-1).any(0))[np.cumsum(np.diff(np.stack([row, cell]), axis=1, prepend=-1).any(0)) - 1]
             mine = (ids.to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-            vec = pa.array([v.tobytes() for v in pack(unit)], pa.binary()).take(pa.array(row))
+            vec = pa.array(pack(raw), pa.binary()).take(pa.array(row))
             cols = (cell, np.minimum(mine, other), np.maximum(mine, other), mine)
             yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), ids.take(pa.array(row)), vec], names=["cell", "i", "j", "mine", "id", "vec"])
 

@@ -72,6 +72,21 @@ def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     assert len(want & got) >= 0.98 * len(want)
 
 
+def test_neighbours_meet_in_tables_with_many_cells(spark):
+    rng = np.random.RandomState(2)
+    centres = rng.randn(1200, 96)
+    x = np.concatenate([c + 0.5 * rng.randn(4, 96) for c in centres])
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * 1024) / 1024  # few digits, as vectors are often stored
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query, r.neighbour): r.cosine for r in p1_similar.nearest(df, per_pivot=4).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 6)
+    np.fill_diagonal(c, -2)
+    want = {(i, int(j)): c[i, j] for i in range(len(x)) for j in sorted(np.flatnonzero(c[i] >= 0.6), key=lambda j: (-c[i, j], j))[:5]}
+    assert len(want.keys() & got.keys()) >= 0.98 * len(want)
+    assert max(abs(got[p] - want[p]) for p in want.keys() & got.keys()) < 5e-7  # exact, not by 16 bits
+
+
 def _texts(seed=3, n=60):
     rng = random.Random(seed)
     out = []
